@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docfields import rules
-from docfields.operators.validate import ERROR_FIELDS, message_column
+from docfields.operators.validate import ERROR_FIELDS, flag_column
 
 
 def top_failures(rows: DataFrame, limit: int = rules.TOP_FAILURES_LIMIT) -> DataFrame:
@@ -41,10 +41,10 @@ def documents_by_type(extracted: DataFrame) -> DataFrame:
 
 def errors_by_field(checked: DataFrame) -> DataFrame:
     """Number of errors (warnings excluded) per blamed field."""
-    entries = F.array(*[F.col(message_column(field)) for field in ERROR_FIELDS])
+    blamed = F.array(*[F.when(F.col(flag_column(field)), field) for field in ERROR_FIELDS])
     return (
-        checked.select(F.explode(entries).alias("entry")).filter(F.col("entry").isNotNull())
-        .groupBy(F.col("entry.field").alias("field")).agg(F.count("*").alias("errors"))
+        checked.select(F.explode(blamed).alias("field")).filter(F.col("field").isNotNull())
+        .groupBy("field").agg(F.count("*").alias("errors"))
     )
 
 

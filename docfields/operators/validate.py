@@ -1,7 +1,8 @@
 """Checks over extracted fields.
 
-Every check fills one nullable message column named after the field it blames; a NULL or empty input leaves it
-NULL, which means "nothing to report". Only the due-date check warns, all others report errors.
+``check`` adds one boolean column per field that a check can blame. A NULL or empty input means that the check
+is skipped, so the flags are never NULL. Message texts are built from the flags only where they are wanted.
+Only the due-date check warns, all others report errors.
 """
 
 from __future__ import annotations
@@ -22,19 +23,13 @@ WARNING_FIELDS = ("due_date",)
 CHECKED_FIELDS = FORMAT_FIELDS + ("total_amount", "due_date", "expiry_date")
 
 
-def message_column(field: str) -> str:
-    return f"msg_{field}"
+def flag_column(field: str) -> str:
+    return f"bad_{field}"
 
 
-def _message(field: str, message: Column, level: str) -> Column:
-    return F.struct(F.lit(field).alias("field"), message.alias("message"), F.lit(level).alias("level"))
-
-
-def format_check(field: str, value: Column) -> Column:
-    """Error if a value breaks the format rule of its field."""
-    pattern = match_pattern(dict(rules.FORMAT_RULES)[field])
-    broken = (value != "") & ~value.rlike(pattern)
-    return F.when(broken, _message(field, F.concat(F.lit(rules.FORMAT_MESSAGE), quoted(value)), rules.ERROR))
+def breaks_format(field: str, value: Column) -> Column:
+    """Whether a value breaks the format rule of its field; NULL for no value."""
+    return (value != "") & ~value.rlike(match_pattern(dict(rules.FORMAT_RULES)[field]))
 
 
 def total_difference(subtotal: Column, tax: Column, total: Column) -> Column:
@@ -42,73 +37,83 @@ def total_difference(subtotal: Column, tax: Column, total: Column) -> Column:
     return F.abs(normalize_amount(subtotal) + normalize_amount(tax) - normalize_amount(total))
 
 
-def totals_check(subtotal: Column, tax: Column, total: Column, tolerance: str) -> Column:
-    """Error on the total if the difference exceeds the tolerance; exactly on it passes."""
-    difference = total_difference(subtotal, tax, total)
-    digits = F.greatest(fraction_length(subtotal), fraction_length(tax), fraction_length(total))
-    text = F.concat(
-        F.lit("subtotal ("), amount_text(subtotal), F.lit(") + tax ("), amount_text(tax),
-        F.lit(") != total ("), amount_text(total), F.lit("); diff="), fixed_text(difference, digits),
-    )
-    exceeded = difference > F.lit(tolerance).cast("decimal(28,10)")
-    return F.when(exceeded, _message("total_amount", text, rules.ERROR))
-
-
-def due_date_check(invoice_date: Column, due_date: Column) -> Column:
-    """Warning if the due date lies before the invoice date."""
-    early = normalize_date(invoice_date) > normalize_date(due_date)
-    return F.when(early, _message("due_date", F.lit(rules.DUE_DATE_MESSAGE), rules.WARNING))
+def breaks_totals(subtotal: Column, tax: Column, total: Column, tolerance: str) -> Column:
+    """Whether the totals differ by more than the tolerance; exactly on it passes."""
+    return total_difference(subtotal, tax, total) > F.lit(tolerance).cast("decimal(28,10)")
 
 
-def expiry_check(expiry_date: Column, birth_date: Column) -> Column:
-    """Error if the expiry date lies before the birth date."""
-    early = normalize_date(expiry_date) < normalize_date(birth_date)
-    return F.when(early, _message("expiry_date", F.lit(rules.EXPIRY_MESSAGE), rules.ERROR))
+def is_earlier(date: Column, other: Column) -> Column:
+    """Whether one date text lies before another; NULL unless both are dates."""
+    return normalize_date(date) < normalize_date(other)
 
 
 def check(extracted: DataFrame, tolerance: str = rules.TOTAL_TOLERANCE) -> DataFrame:
-    """Add one message column per checked field."""
-    checks = {field: format_check(field, F.col(field)) for field in FORMAT_FIELDS}
-    checks["total_amount"] = totals_check(
+    """Add one flag per checked field: true if a check blames it."""
+    flags = {field: breaks_format(field, F.col(field)) for field in FORMAT_FIELDS}
+    flags["total_amount"] = breaks_totals(
         F.col("subtotal_amount"), F.col("tax_amount"), F.col("total_amount"), tolerance
     )
-    checks["due_date"] = due_date_check(F.col("invoice_date"), F.col("due_date"))
-    checks["expiry_date"] = expiry_check(F.col("expiry_date"), F.col("birth_date"))
-    return extracted.withColumns({message_column(field): column for field, column in checks.items()})
+    flags["due_date"] = is_earlier(F.col("due_date"), F.col("invoice_date"))
+    flags["expiry_date"] = is_earlier(F.col("expiry_date"), F.col("birth_date"))
+    return extracted.withColumns(
+        {flag_column(field): F.coalesce(flag, F.lit(False)) for field, flag in flags.items()}
+    )
+
+
+def _totals_text() -> Column:
+    amounts = [F.col(field) for field in rules.AMOUNT_FIELDS]
+    digits = F.greatest(*[fraction_length(amount) for amount in amounts])
+    subtotal, tax, total = (amount_text(amount) for amount in amounts)
+    return F.concat(
+        F.lit("subtotal ("), subtotal, F.lit(") + tax ("), tax, F.lit(") != total ("), total,
+        F.lit("); diff="), fixed_text(total_difference(*amounts), digits),
+    )
+
+
+def message(field: str) -> Column:
+    """The message about a field of a checked table, NULL if there is nothing to report."""
+    if field in FORMAT_FIELDS:
+        text = F.concat(F.lit(rules.FORMAT_MESSAGE), quoted(F.col(field)))
+    elif field == "total_amount":
+        text = _totals_text()
+    else:
+        text = F.lit(rules.DUE_DATE_MESSAGE if field == "due_date" else rules.EXPIRY_MESSAGE)
+    level = rules.WARNING if field in WARNING_FIELDS else rules.ERROR
+    entry = F.struct(F.lit(field).alias("field"), text.alias("message"), F.lit(level).alias("level"))
+    return F.when(F.col(flag_column(field)), entry)
 
 
 def field_is_valid(field: str) -> Column:
-    """Whether no error blames the field (a checked table is needed)."""
-    return F.col(message_column(field)).isNull() if field in ERROR_FIELDS else F.lit(True)
+    """Whether no error blames the field of a checked table."""
+    return ~F.col(flag_column(field)) if field in ERROR_FIELDS else F.lit(True)
 
 
 def document_is_valid() -> Column:
-    """Whether the document has no error; warnings do not count (a checked table is needed)."""
-    valid = F.lit(True)
-    for field in ERROR_FIELDS:
+    """Whether a document of a checked table has no error; warnings do not count."""
+    valid = field_is_valid(ERROR_FIELDS[0])
+    for field in ERROR_FIELDS[1:]:
         valid = valid & field_is_valid(field)
     return valid
 
 
 def _gather(fields: tuple[str, ...]) -> Column:
     none = F.array().cast(f"array<{MESSAGE.simpleString()}>")
-    columns = [F.col(message_column(field)) for field in fields]
-    return F.concat(*[F.when(m.isNotNull(), F.array(m)).otherwise(none) for m in columns])
+    return F.concat(
+        *[F.when(F.col(flag_column(field)), F.array(message(field))).otherwise(none) for field in fields]
+    )
 
 
 def summarize(checked: DataFrame) -> DataFrame:
-    """Turn the message columns into ``errors``, ``warnings`` and ``is_valid``."""
-    return checked.withColumns(
-        {
-            "errors": _gather(ERROR_FIELDS), "warnings": _gather(WARNING_FIELDS),
-            "is_valid": document_is_valid(),
-        }
-    ).drop(*[message_column(field) for field in CHECKED_FIELDS])
+    """Turn the flags into ``errors``, ``warnings`` and ``is_valid``."""
+    summary = {
+        "errors": _gather(ERROR_FIELDS), "warnings": _gather(WARNING_FIELDS), "is_valid": document_is_valid()
+    }
+    return checked.withColumns(summary).drop(*[flag_column(field) for field in CHECKED_FIELDS])
 
 
 def messages(checked: DataFrame, *keys: str) -> DataFrame:
     """One row per message, numbered in reporting order: format rules first, then cross-field checks."""
-    entries = F.array(*[F.col(message_column(field)) for field in CHECKED_FIELDS])
+    entries = F.array(*[message(field) for field in CHECKED_FIELDS])
     return (
         checked.select(*(keys or ("doc_id",)), F.posexplode(entries).alias("rule", "entry"))
         .filter(F.col("entry").isNotNull())

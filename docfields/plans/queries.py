@@ -58,7 +58,7 @@ def _outcomes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _message_text(field: str) -> Column:
-    return F.col(validate.message_column(field))["message"].alias("message")
+    return validate.message(field)["message"].alias("message")
 
 
 # --- corpora -----------------------------------------------------------------------------------------------
@@ -156,7 +156,8 @@ def predictions_long(spark: SparkSession, folder: str) -> DataFrame:
 
 def field_map(spark: SparkSession, folder: str) -> DataFrame:
     maps = extract.field_map(_extracted(spark, folder))
-    return maps.select("doc_id", F.explode("fields").alias("name", "field")).select("doc_id", "name", "field.*")
+    entries = maps.select("doc_id", F.explode_outer("fields").alias("name", "field"))
+    return entries.filter(F.col("name").isNotNull()).select("doc_id", "name", "field.*")
 
 
 def normalize_amounts(spark: SparkSession, folder: str) -> DataFrame:
