@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docfields.functions.text import strip
+from docfields.functions.text import WHITESPACE
 
 # Two additions widen this to (30,10) without losing a digit of the scale.
 AMOUNT_TYPE = "decimal(28,10)"
 
+_SIGNS = ",$€£_"
+_OUTER = f"[{WHITESPACE}{_SIGNS}]"
+_DROPPED = rf"^{_OUTER}++|(?<!{_OUTER}){_OUTER}++\z|[{_SIGNS}]"
+
 
 def amount_digits(value: Column) -> Column:
     """The text without thousands commas, currency signs, digit-group underscores and outer blanks."""
-    return strip(F.regexp_replace(value, "[,$€£_]", ""))
+    return F.regexp_replace(value, _DROPPED, "")
 
 
 def normalize_amount(value: Column) -> Column:

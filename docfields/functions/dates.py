@@ -5,21 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Year 0000 is no year; a blank may stand for the leading zero of a day, not of a month.
-_YEAR = r"((?!0000)[0-9]{4})"
-_MONTH = r"([0-9]{1,2})"
-_DAY = r"([0-9]{1,2}| [1-9])"
-
-
-def _parse(value: Column, pattern: str, order: str) -> Column:
-    iso = F.when(value.rlike(pattern), F.regexp_replace(value, pattern, order))
-    return F.replace(iso, F.lit(" "), F.lit("")).try_cast("date")
+# Year 0000 is no year; a blank may stand for the leading zero of a day.
+_YEAR = "(?!0000)[0-9]{4}"
+_PART = "(?:[0-9]{1,2}| [1-9])"
+_DATE = rf"^(?:{_YEAR}-[0-9]{{1,2}}-{_PART}|{_PART}/[0-9]{{1,2}}/{_YEAR}|[0-9]{{1,2}}/{_PART}/{_YEAR})\z"
 
 
 def normalize_date(value: Column) -> Column:
     """Date of a text in ISO, else day/month/year, else month/day/year order; NULL if none fits."""
-    return F.coalesce(
-        _parse(value, rf"^{_YEAR}-{_MONTH}-{_DAY}\z", "$1-$2-$3"),
-        _parse(value, rf"^{_DAY}/{_MONTH}/{_YEAR}\z", "$3-$2-$1"),
-        _parse(value, rf"^{_MONTH}/{_DAY}/{_YEAR}\z", "$3-$1-$2"),
-    )
+    text = F.replace(F.when(value.rlike(_DATE), value), F.lit("- "), F.lit("-"))
+    day_first = F.regexp_replace(text, "^ ?([0-9]+)/([0-9]+)/([0-9]+)", "$3-$2-$1")
+    month_first = F.regexp_replace(text, "^([0-9]+)/ ?([0-9]+)/([0-9]+)", "$3-$1-$2")
+    return F.coalesce(day_first.try_cast("date"), month_first.try_cast("date"))

@@ -14,21 +14,41 @@ WHITESPACE = r"\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F
 _WORD = r"[\p{L}\p{N}_]"
 
 
-def search_pattern(pattern: str) -> str:
-    """Java form of a case-insensitive search pattern.
+def _portable(pattern: str) -> str:
+    """The parts of the translation that do not concern letter case.
 
     * Gaps become possessive. Nothing that follows a gap in the rules can start with whitespace, so the
       matches stay the same, while a long run of blanks costs linear instead of polynomial time.
     * ``\\b`` becomes a look-around on Unicode letters, digits and the underscore.
-    * ``[A-Z]`` lists both cases, because Java folds a range in one direction only.
     """
     out = pattern.replace(r"\s*", f"[{WHITESPACE}]*+")
     out = out.replace(r"[\s", f"[{WHITESPACE}")
-    out = out.replace("[A-Z]", "[A-Za-z]")
     if out.endswith(r"\b"):
         out = out[:-2] + f"(?!{_WORD})"
-    out = out.replace(r"\b", f"(?<!{_WORD})")
-    return "(?iu)" + out
+    return out.replace(r"\b", f"(?<!{_WORD})")
+
+
+def search_pattern(pattern: str) -> str:
+    """Java form of a case-insensitive search pattern.
+
+    ``[A-Z]`` lists both cases, because Java folds a range in one direction only.
+    """
+    return "(?iu)" + _portable(pattern).replace("[A-Z]", "[A-Za-z]")
+
+
+def folded(text: Column) -> Column:
+    """Lower-case text in which every letter that matches an ASCII letter regardless of case is that letter.
+
+    Lower case alone leaves three such letters: dotted capital I, dotless small i and long s.
+    """
+    for letter, plain in (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s")):
+        text = F.replace(text, F.lit(letter), F.lit(plain))
+    return F.lower(text)
+
+
+def folded_pattern(pattern: str) -> str:
+    """Java form of a case-insensitive search pattern for folded text, where it may be case-sensitive."""
+    return _portable(pattern).replace("[A-Z]", "[a-z]")
 
 
 def match_pattern(pattern: str) -> str:
