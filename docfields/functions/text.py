@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 # The characters that ``str.isspace`` accepts; Java's \s differs with and without (?U).
 WHITESPACE = r"\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+_BLANKS = "".join(char for char in map(chr, range(0x3001)) if char.isspace())
 _WORD = r"[\p{L}\p{N}_]"
 
 
@@ -65,8 +66,8 @@ def first_group(text: Column, pattern: str) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Remove leading and trailing Unicode whitespace."""
-    return F.regexp_replace(text, rf"^[{WHITESPACE}]++|(?<![{WHITESPACE}])[{WHITESPACE}]++\z", "")
+    """Remove leading and trailing Unicode whitespace; looks at the two ends only."""
+    return F.trim(text, F.lit(_BLANKS))
 
 
 def collapse_whitespace(text: Column) -> Column:

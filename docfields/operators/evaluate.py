@@ -44,20 +44,30 @@ def pair_tables(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     return _judged(left.join(right, ["doc_id", "name"], "full_outer"))
 
 
-def _extracted_map() -> Column:
-    return F.map_from_arrays(
-        F.array(*[F.lit(name) for name in rules.ALL_FIELDS]),
-        F.array(*[F.col(name) for name in rules.ALL_FIELDS]),
+def _pairs(truth: Column) -> Column:
+    """Array of (name, gt, pred) over the union of the names in the truth map and the rule set."""
+    names = F.array(*[F.lit(name) for name in rules.ALL_FIELDS])
+    known = F.array(
+        *[
+            F.struct(F.lit(name).alias("name"), truth[name].alias("gt"), F.col(name).alias("pred"))
+            for name in rules.ALL_FIELDS
+        ]
     )
+    # Names that no rule can give are rare, so they are looked at only where the truth has one.
+    unknown = F.array_except(F.map_keys(truth), names)
+    others = F.transform(
+        unknown, lambda n: F.struct(n.alias("name"), truth[n].alias("gt"), F.lit(None).cast("string").alias("pred"))
+    )
+    return F.when(F.size(unknown) > 0, F.concat(known, others)).otherwise(known)
 
 
 def pair_documents(extracted: DataFrame, truth: str = "truth") -> DataFrame:
-    """Pair the truth map of every document with its extracted fields; no row moves."""
-    both = F.map_zip_with(
-        F.col(truth), _extracted_map(), lambda _, gt, pred: F.struct(gt.alias("gt"), pred.alias("pred"))
-    )
-    pairs = extracted.select("doc_id", F.explode(both).alias("name", "pair"))
-    return _judged(pairs.select("doc_id", "name", "pair.gt", "pair.pred"))
+    """Pair the truth map of every document with its extracted fields; no row moves.
+
+    The outer explode infers no filter from its input, which would build the pairs twice.
+    """
+    pairs = extracted.select("doc_id", F.explode_outer(_pairs(F.col(truth))).alias("pair"))
+    return _judged(pairs.select("doc_id", "pair.*"))
 
 
 def count_outcomes(pairs: DataFrame) -> DataFrame:
@@ -110,12 +120,12 @@ def sample_count(documents: DataFrame) -> DataFrame:
 def sample_records(checked: DataFrame, truth: str = "truth", true_type: str = "doc_type_truth") -> DataFrame:
     """One record per document: types, judged fields, errors and warnings; no row moves."""
 
-    def judge(_: Column, gt: Column, pred: Column) -> Column:
-        gt, pred = comparable(gt), comparable(pred)
-        return F.struct(gt.alias("gt"), pred.alias("pred"), _status(gt, pred).alias("status"))
+    def judge(pair: Column) -> Column:
+        gt, pred = comparable(pair["gt"]), comparable(pair["pred"])
+        return F.struct(pair["name"], F.struct(gt.alias("gt"), pred.alias("pred"), _status(gt, pred).alias("status")))
 
-    judged = F.map_zip_with(F.col(truth), _extracted_map(), judge)
-    return summarize(checked.withColumn("fields", F.map_filter(judged, lambda _, f: f["status"].isNotNull()))).select(
+    judged = F.filter(F.transform(_pairs(F.col(truth)), judge), lambda e: e["col2"]["status"].isNotNull())
+    return summarize(checked.withColumn("fields", F.map_from_entries(judged))).select(
         "doc_id",
         F.col("doc_type").alias("doc_type_predicted"),
         F.col(true_type).alias("doc_type_truth"),
