@@ -70,6 +70,12 @@ def pair_documents(extracted: DataFrame, truth: str = "truth") -> DataFrame:
     return _judged(pairs.select("doc_id", "pair.*"))
 
 
+def pairs_of_records(stored: DataFrame) -> DataFrame:
+    """The judged pairs inside stored sample records."""
+    fields = stored.select("doc_id", F.explode("fields").alias("name", "field"))
+    return fields.select("doc_id", "name", "field.*")
+
+
 def count_outcomes(pairs: DataFrame) -> DataFrame:
     """True positives, false positives and false negatives per field; a wrong value is both of the latter."""
     status = F.col("status")

@@ -247,9 +247,9 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "frows_w": (("checked_w",), _field_rows("checked_w")),
     "words": (
         ("corpus",),
-        "select doc_id, pg as page_index, 'page' || pg as page_name, (i % 12) * 2 + sub as pos, shown as text, "
-        f"trim(shown, {_SPACES}) as word, (50 + (i * 7) % 50)::double as conf, (i % 12) * 40 as left_, "
-        "(i // 12) * 20 as top_, 8 * length(shown) as width_, 16 as height_ from ("
+        "select doc_id, pg::integer as page_index, 'page' || pg as page_name, ((i % 12) * 2 + sub)::integer as pos, shown as text, "
+        f"trim(shown, {_SPACES}) as word, (50 + (i * 7) % 50)::double as conf, ((i % 12) * 40)::integer as left_, "
+        "((i // 12) * 20)::integer as top_, (8 * length(shown))::integer as width_, 16 as height_ from ("
         "select doc_id, i, pg, unnest(pair) as shown, generate_subscripts(pair, 1) - 1 as sub from ("
         "select doc_id, i, pg, case when i % 9 = 0 then [s, ' '] else [s] end as pair from ("
         "select doc_id, i, i // 12 as pg, case when (i // 12) % 5 = 3 then ' ' "
@@ -355,7 +355,7 @@ def all_statements() -> dict[str, str]:
             "toks",
         ),
         "page_renumber": _statement(
-            "select doc_id, page_index, row_number() over (partition by doc_id order by page_index) as page_num "
+            "select doc_id, page_index, (row_number() over (partition by doc_id order by page_index))::integer as page_num "
             "from (select distinct doc_id, page_index from words)",
             "words",
         ),
@@ -413,7 +413,7 @@ def all_statements() -> dict[str, str]:
         ),
         "ocr_json_roundtrip": _statement(
             "select doc_id, page_index + 1 as page_num, count(*) over (partition by doc_id, page_index) as token_count, "
-            "row_number() over (partition by doc_id, page_index order by pos) - 1 as n, word as text, "
+            "(row_number() over (partition by doc_id, page_index order by pos) - 1)::integer as n, word as text, "
             "conf / 100 as confidence, left_ as x0, top_ as y0, left_ + width_ as x1, top_ + height_ as y1 from toks",
             "toks",
         ),

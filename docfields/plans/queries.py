@@ -11,6 +11,7 @@ from docfields import rules
 from docfields.functions.amounts import normalize_amount
 from docfields.functions.dates import normalize_date
 from docfields.operators import analytics, evaluate, extract, records, tokens, validate
+from docfields.schemas import FIELD_REPORT, OCR_RESULT, RESPONSE
 from docfields.session import fresh_path
 from docfields.sources import admission, corpora, readers, writers
 from docfields.streaming import jobs
@@ -249,19 +250,13 @@ def response_json_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return records.flatten_responses(readers.read_responses(spark, path))
 
 
-def _store(spark: SparkSession, folder: str) -> str:
+def persisted_extractions(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh_path(spark, "extractions")
     writers.append_extractions(_field_rows(spark, folder), path, RUN_ID)
-    return path
-
-
-def persisted_extractions(spark: SparkSession, folder: str) -> DataFrame:
-    return readers.read_extractions(spark, _store(spark, folder)).drop("created_at")
+    return readers.read_extractions(spark, path).drop("created_at")
 
 
 def ocr_json_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    from docfields.schemas import OCR_RESULT
-
     path = fresh_path(spark, "ocr")
     writers.write_ocr_results(tokens.ocr_results(_words(spark, folder)), path)
     pages = spark.read.schema(OCR_RESULT).json(path)
@@ -308,8 +303,12 @@ def low_accuracy_values(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def responses_with_failures(spark: SparkSession, folder: str) -> DataFrame:
-    history = readers.read_extractions(spark, _store(spark, folder))
-    nested = records.attach_top_failures(records.responses(_checked(spark, folder), RUN_ID), history)
+    """The responses are stored first, so that rows, ranking and result come from one pass over the texts."""
+    path, table = fresh_path(spark, "responses"), fresh_path(spark, "extractions")
+    records.responses(_checked(spark, folder), RUN_ID).write.parquet(path)
+    stored = spark.read.schema(RESPONSE).parquet(path)
+    writers.append_extractions(records.flatten_responses(stored), table, RUN_ID)
+    nested = records.attach_top_failures(stored, readers.read_extractions(spark, table))
     ranking = F.transform("analytics.top_failures", lambda e: F.concat_ws(":", e["field"], e["failures"]))
     return nested.select("request_id", F.array_join(ranking, ";").alias("ranking"))
 
@@ -380,12 +379,8 @@ def eval_report(spark: SparkSession, folder: str) -> DataFrame:
 
 def eval_written(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh_path(spark, "evaluation")
-    samples = evaluate.sample_records(validate.check(_samples(spark, folder)))
-    counts = _outcomes(spark, folder)
-    micro = evaluate.rounded(evaluate.micro_metrics(counts))
-    writers.write_evaluation(samples, evaluate.report(counts), micro, path)
-    schema = "field STRING, tp BIGINT, fp BIGINT, fn BIGINT, precision DOUBLE, recall DOUBLE, f1 DOUBLE"
-    return spark.read.schema(schema).json(f"{path}/per_field")
+    writers.write_evaluation(spark, evaluate.sample_records(validate.check(_samples(spark, folder))), path)
+    return spark.read.schema(FIELD_REPORT).json(f"{path}/per_field")
 
 
 # --- streaming ---------------------------------------------------------------------------------------------

@@ -64,3 +64,16 @@ OCR_RESULT = _struct(
     ("doc_id", _S), ("page_num", _I), ("part", _I), ("tokens", T.ArrayType(TOKEN)), ("full_text", _S),
     ("metadata", _struct(("avg_confidence", _D), ("token_count", _L))),
 )
+
+JUDGED = _struct(("gt", _S), ("pred", _S), ("status", _S))
+
+SAMPLE_RECORD = _struct(
+    ("doc_id", _S), ("doc_type_predicted", _S), ("doc_type_truth", _S), ("fields", T.MapType(_S, JUDGED)),
+    ("validation_errors", T.ArrayType(MESSAGE)), ("validation_warnings", T.ArrayType(MESSAGE)),
+)
+
+_SCORES = (("tp", _L), ("fp", _L), ("fn", _L), ("precision", _D), ("recall", _D), ("f1", _D))
+
+FIELD_REPORT = _struct(("field", _S), *_SCORES)
+
+MICRO_REPORT = _struct(*_SCORES)

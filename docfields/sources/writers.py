@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+from docfields.operators import evaluate
 from docfields.operators.records import stamp
+from docfields.schemas import SAMPLE_RECORD
 
 
 def append_extractions(rows: DataFrame, path: str, run_id: str) -> None:
@@ -25,7 +27,13 @@ def write_ocr_results(results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").json(path)
 
 
-def write_evaluation(records: DataFrame, metrics: DataFrame, micro: DataFrame, path: str) -> None:
-    """Evaluation results as JSON lines: per-document records, per-field metrics and micro metrics."""
-    for name, table in (("samples", records), ("per_field", metrics), ("micro", micro)):
-        table.write.mode("overwrite").json(f"{path}/{name}")
+def write_evaluation(spark: SparkSession, records: DataFrame, path: str) -> None:
+    """Evaluation results as JSON lines: per-document records, per-field metrics and micro metrics.
+
+    The metrics are counted from the stored records, so the texts are read and searched only once.
+    """
+    records.write.mode("overwrite").json(f"{path}/samples")
+    stored = spark.read.schema(SAMPLE_RECORD).json(f"{path}/samples")
+    counts = evaluate.count_outcomes(evaluate.pairs_of_records(stored))
+    evaluate.report(counts).write.mode("overwrite").json(f"{path}/per_field")
+    evaluate.rounded(evaluate.micro_metrics(counts)).write.mode("overwrite").json(f"{path}/micro")
