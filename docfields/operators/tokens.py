@@ -46,23 +46,18 @@ def cap_pages(words: DataFrame, max_pages: int | None) -> DataFrame:
 def number_pages(pages: DataFrame) -> DataFrame:
     """Number the pages of every document 1..n in input order.
 
-    Counting happens in blocks of page indexes: a rank within the block plus the pages of the blocks before
-    it. No task has to order all pages of one document, only the far fewer blocks.
+    Page indexes are gathered in sorted blocks of at most ``PAGE_BLOCK``; a number is the place in the block
+    plus the pages of the blocks before it. No task has to order all pages of one document, only its far fewer
+    blocks, and the words are read once.
     """
-    listed = (
-        pages.select("doc_id", "page_index").distinct()
-        .withColumn("block", F.floor(F.col("page_index") / PAGE_BLOCK))
-    )
     earlier = Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = (
-        listed.groupBy("doc_id", "block").agg(F.count("*").alias("pages"))
-        .select("doc_id", "block", F.coalesce(F.sum("pages").over(earlier), F.lit(0)).alias("before"))
+    blocks = (
+        pages.select("doc_id", "page_index", F.floor(F.col("page_index") / PAGE_BLOCK).alias("block")).distinct()
+        .groupBy("doc_id", "block").agg(F.sort_array(F.collect_list("page_index")).alias("indexes"))
+        .withColumn("before", F.coalesce(F.sum(F.size("indexes")).over(earlier), F.lit(0)))
     )
-    in_block = Window.partitionBy("doc_id", "block").orderBy("page_index")
-    return (
-        listed.withColumn("rank", F.row_number().over(in_block))
-        .join(before, ["doc_id", "block"])
-        .select("doc_id", "page_index", (F.col("before") + F.col("rank")).cast("int").alias("page_num"))
+    return blocks.select("doc_id", "before", F.posexplode("indexes").alias("place", "page_index")).select(
+        "doc_id", "page_index", (F.col("before") + F.col("place") + 1).cast("int").alias("page_num")
     )
 
 
