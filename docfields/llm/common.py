@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +18,26 @@ GAP = r"[\x20\x09-\x0D]"
 NO_GAP = r"[^\x20\x09-\x0D]"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the Python workers, unless the environment already has it on their path."""
+    root, application = Path(__file__).resolve().parents[2], spark.sparkContext.applicationId
+    if application in _shipped or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    package = Path(__file__).resolve().parents[1].name
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="ship-"), package), "zip", root, package)
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(application)
+
+
+def map_arrow(frame: DataFrame, function: Callable, schema) -> DataFrame:
+    """``mapInArrow`` with this package at hand."""
+    ship(frame.sparkSession)
+    return frame.mapInArrow(function, schema)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

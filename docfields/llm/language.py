@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docfields.llm.common import share
+from docfields.llm.common import map_arrow, share
 
 # Bounds of the model: letters of labelled text for a language and in all, documents to take them from (expected), letters
 # from one document, and languages (the most frequent labels).
@@ -122,7 +122,7 @@ class Parser:
         codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         symbols = self.symbols[codes]
         owner = np.repeat(np.arange(len(texts)), [len(text) for text in lowered])
-        # One space before every text and after every word; other characters go.
+        # One space after every word; other characters that are no letters go.
         begins = np.ones(len(symbols), dtype=bool)
         begins[1:] = owner[1:] != owner[:-1]
         before = np.concatenate(([0], symbols[:-1])) if len(symbols) else symbols
@@ -225,4 +225,4 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
             )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return map_arrow(documents.select("doc_id", "text"), run, f"doc_id {kind}, lang_pred string, score double")

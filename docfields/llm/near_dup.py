@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docfields.llm.common import stored
+from docfields.llm.common import map_arrow, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -157,10 +157,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def signed(documents: DataFrame) -> DataFrame:
     """doc_id, digest of the words (null without words) and bucket keys of every row with an id."""
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return (
-        documents.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
-        .mapInArrow(_sign, f"doc_id {kind}, digest binary, bands array<long>")
-    )
+    rows = documents.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
+    return map_arrow(rows, _sign, f"doc_id {kind}, digest binary, bands array<long>")
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +183,7 @@ def verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     kind = documents.schema["doc_id"].dataType.simpleString()
     members = pairs.join(texts, pairs["member"] == texts["doc_id"]).select("member", "centre", F.col("text").alias("member_text"))
     both = members.join(texts, members["centre"] == texts["doc_id"]).select("member", "centre", "member_text", "text")
-    return both.mapInArrow(_verify, f"member {kind}, centre {kind}, similarity double")
+    return map_arrow(both, _verify, f"member {kind}, centre {kind}, similarity double")
 
 
 def _first_round(buckets: DataFrame) -> DataFrame:

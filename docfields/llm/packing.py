@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docfields.llm.common import stored, word_count, words
+from docfields.llm.common import ship, stored, word_count, words
 
 CAPACITIES = (512, 1024, 2048, 4096)
 # What a bin costs beside its length, in words.
@@ -95,6 +95,7 @@ def pack_documents(
     """
     cut = stored(pieces(documents, word_count(F.col("text")) if length is None else length, capacities), "pieces")
     shards = max(1, -(-cut.count() // shard_pieces))
+    ship(documents.sparkSession)
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(shard: pd.DataFrame) -> pd.DataFrame:

@@ -18,6 +18,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from docfields.llm.common import map_arrow
+
 # Kinds in order, their patterns, the group that counts and its least length.
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(
@@ -159,7 +161,7 @@ def find_secrets(documents: DataFrame) -> DataFrame:
                 names=["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"],
             )
 
-    return documents.select("doc_id", "text").mapInArrow(
-        run,
+    return map_arrow(
+        documents.select("doc_id", "text"), run,
         f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string",
     )

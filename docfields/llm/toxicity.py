@@ -28,17 +28,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docfields.llm.common import share
+from docfields.llm.common import map_arrow, share, stored
 
-# Bounds of the model: labelled documents to learn from (expected number), and classes kept.
+# Bounds of the model: labelled documents to learn from (expected number; so many tasks read them), and classes kept.
 LEARNING_DOCUMENTS = 20_000
+SAMPLE_PARTS = 32
 MODEL_CLASSES = 200_000
 STEMS = (3, 4, 5, 6)
-PRIOR = 4.0
-DRIFT = 0.5
-# Classes whose toxic documents lie within so many standard deviations of the overall rate follow the class above.
-MIN_DEVIATIONS = 3.5
-MIN_DOCUMENTS = 2
+PRIOR = 10.0
+DRIFT = 2.0
+# Classes of fewer documents, or whose toxic documents lie within so many standard deviations of the overall rate, follow
+# the class above.
+MIN_DEVIATIONS = 5.0
+MIN_DOCUMENTS = 4
 MEMO_WORDS = 500_000
 SIGNIFICANT = 0.05
 
@@ -147,14 +149,17 @@ class Scorer:
 def learning_sample(documents: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
     """text and toxic of about ``LEARNING_DOCUMENTS`` labelled documents that ``learn`` (over doc_id) admits.
 
-    The choice depends on the ids alone. The chosen labels are bounded, so they may be broadcast to the texts.
+    The choice depends on the ids alone. The chosen labels are bounded, so they may be broadcast to the texts. Repeated
+    labels of an id count as toxic if any does.
     """
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(
         learn & F.col("toxic").isin(0, 1)
     )
     fraction = min(1.0, LEARNING_DOCUMENTS / max(1, usable.count()))
     chosen = usable.filter(share(F.col("doc_id"), "toxicity") < fraction).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # Copies of a text are one piece of evidence.
+    return stored(rows.dropDuplicates(["text"]).select("text", "toxic").repartition(SAMPLE_PARTS), "toxicity-sample")
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +259,7 @@ def learn(documents: DataFrame, labels: DataFrame, learn_from: Column) -> Model:
     expected = F.col("documents") * base
     spread = F.abs(F.col("toxic") - expected) / F.sqrt(expected * (1 - base))
     rows = (
-        sample.mapInArrow(_count_batches, "class string, documents long, toxic long")
+        map_arrow(sample, _count_batches, "class string, documents long, toxic long")
         .groupBy("class").agg(F.sum("documents").alias("documents"), F.sum("toxic").alias("toxic"))
         .filter((F.col("documents") >= MIN_DOCUMENTS) & (spread >= MIN_DEVIATIONS))
         .orderBy(spread.desc(), "class").limit(MODEL_CLASSES).collect()
@@ -263,7 +268,7 @@ def learn(documents: DataFrame, labels: DataFrame, learn_from: Column) -> Model:
     offset = math.log(base / (1 - base))
     scores = {c: round(math.log(r / (1 - r)) - offset - DRIFT, 2) for c, r in rates.items()}
     model = empty._replace(scores=scores)
-    scored = sample.mapInArrow(_score_batches(model), "label int, n long, best double, low double, detail string").collect()
+    scored = map_arrow(sample, _score_batches(model), "label int, n long, best double, low double, detail string").collect()
     histogram: Counter[float] = Counter()
     lengths = exceeding = 0
     for row in scored:
@@ -313,8 +318,8 @@ def toxicity(documents: DataFrame, model: Model) -> DataFrame:
             )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(
-        run,
+    return map_arrow(
+        documents.select("doc_id", "text"), run,
         f"doc_id {kind}, score double, predicted int, evidence double, "
         "passages array<struct<score: double, start: int, end: int>>",
     )
@@ -331,4 +336,4 @@ def without_toxic(documents: DataFrame, model: Model) -> DataFrame:
             keep = [probability(scorer.assess(text.as_py())[0], scorer.model) < 0.5 for text in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return map_arrow(documents, run, documents.schema)

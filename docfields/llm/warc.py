@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docfields.llm.common import stored
+from docfields.llm.common import map_arrow, stored
 from docfields.session import fresh_path
 
 VERSION = "WARC/1.1"
@@ -232,7 +232,8 @@ def write_archives(pages: DataFrame, folder: str, least_payload: int = LEAST_PAY
     files, path = _file_system(folder)
     files.create_dir(path, recursive=True)
     typed = with_types(pages, least_payload)
-    return typed.sortWithinPartitions("page_id", "url", "html").mapInArrow(run, "records long").agg(F.sum("records")).first()[0] or 0
+    ordered = typed.sortWithinPartitions("page_id", "url", "html")
+    return map_arrow(ordered, run, "records long").agg(F.sum("records")).first()[0] or 0
 
 
 def read_archives(spark, folder: str) -> DataFrame:
@@ -263,7 +264,7 @@ def read_archives(spark, folder: str) -> DataFrame:
 
     kinds = "id string, kind string, uri string, digest string, length string, refers string, block binary, error string"
     archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
-    return archives.mapInArrow(run, kinds).select(
+    return map_arrow(archives, run, kinds).select(
         F.col("id").alias("record_id"), F.col("kind").alias("record_type"), F.col("uri").alias("target_uri"),
         F.regexp_replace("digest", "^sha1:", "").alias("payload_digest"),
         F.col("length").try_cast("long").alias("payload_bytes"), F.col("refers").alias("refers_to"), "block", "error",
