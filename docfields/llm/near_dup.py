@@ -10,9 +10,9 @@ similarity ``J_P = sum_d 1 / sum_e max(a_e / a_d, b_e / b_d)``; for plain sets i
 2. Bands of registers are buckets. Every bucket has a centre, its smallest id, and each member is compared with it: as
    many pairs as members, whatever the size of the bucket.
 3. Pairs are verified exactly on the whole texts.
-4. Members that differ from the centre stay for another round with a new centre, until none is left. ``1 - J_P`` is a
-   metric, so of the members already placed only those stay that the triangle inequality lets resemble one
-   of them. No link that banding found a bucket for is lost.
+4. Members that differ from the centre stay for further rounds, until none is left: one new centre in the first of
+   them, twice as many in each next one. ``1 - J_P`` is a metric, so of the members already placed only those stay
+   that the triangle inequality lets resemble one of them. No link that banding found a bucket for is lost.
 5. Connected components of the links give the class ids (alternating large and small stars).
 """
 
@@ -209,24 +209,68 @@ def _within(distance: Column) -> Column:
 def _open(state: DataFrame) -> DataFrame:
     """Members that a further round needs: unplaced ones, and placed ones that may resemble one of them.
 
-    ``state`` has bucket, member, placed and the distance to the bucket's first centre. An unplaced member farther than
-    twice the allowed distance from that centre cannot resemble a member that is within it.
+    ``state`` has bucket, member, placed and the distance to the bucket's first centre. The distances of two members that
+    resemble each other differ by no more than two alike texts may differ.
     """
-    reach = 1 - SIMILARITY
-    near = ~F.col("placed") & (F.col("distance") <= 2 * reach + _EPSILON)
-    needs = state.groupBy("bucket").agg(
-        F.count_if(~F.col("placed")).alias("unplaced"),
-        F.min(F.when(near, F.col("distance"))).alias("nearest"),
-    ).filter((F.col("unplaced") > 1) | F.col("nearest").isNotNull())
-    needs = stored(needs, "open-buckets")
+    reach = 1 - SIMILARITY + _EPSILON
+    free = F.when(~F.col("placed"), F.col("distance"))
+    fixed = F.when(F.col("placed"), F.col("distance"))
+    needs = (
+        state.groupBy("bucket").agg(
+            F.count(free).alias("unplaced"), F.min(free).alias("nearest"), F.max(free).alias("farthest"),
+            F.min(fixed).alias("placed_nearest"), F.max(fixed).alias("placed_farthest"),
+        )
+        .filter((F.col("unplaced") > 1) | (
+            (F.col("unplaced") == 1) & (F.col("placed_farthest") >= F.col("nearest") - reach)
+            & (F.col("placed_nearest") <= F.col("farthest") + reach)))
+        .select("bucket", "nearest", "farthest")
+    )
+    within = F.col("distance").between(F.col("nearest") - reach, F.col("farthest") + reach)
     return stored(
-        state.join(needs, "bucket")
-        .filter(~F.col("placed") | (F.col("distance") >= F.col("nearest") - reach - _EPSILON))
-        .drop("unplaced", "nearest"),
+        state.join(stored(needs, "open-buckets"), "bucket").filter(~F.col("placed") | within).drop("nearest", "farthest"),
         "open-members",
     )
 
 
+def _centres(state: DataFrame, number: int) -> DataFrame:
+    """The smallest unplaced member of each bucket, and about ``number`` more; which ones depends on the ids alone.
+
+    A bucket with fewer unplaced members has them all as centres.
+    """
+    unplaced = state.filter(~F.col("placed")).select("bucket", F.col("member").alias("centre"))
+    first = unplaced.groupBy("bucket").agg(F.min("centre").alias("smallest"), F.count("*").alias("unplaced"))
+    draw = F.pmod(F.xxhash64("centre", F.lit(number)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    chosen = unplaced.join(stored(first, "unplaced"), "bucket").filter(
+        (F.col("centre") == F.col("smallest")) | (draw * F.col("unplaced") < number - 1)
+    )
+    return stored(chosen.select("bucket", "centre"), "centres")
+
+
+def _after_round(state: DataFrame, centres: DataFrame, near: DataFrame) -> DataFrame:
+    """The state once all members of each bucket have been compared with its centres.
+
+    A centre has no further link to find, so it is placed if it resembles a placed member, along with all that
+    resembles it, and otherwise leaves the bucket.
+    """
+    linked = stored(
+        state.join(centres, "bucket").join(near, ["member", "centre"]).select("bucket", "centre", "member", "placed"), "linked"
+    )
+    joining = linked.filter("placed").select("bucket", "centre").distinct()
+    joined = linked.join(stored(joining, "joining"), ["bucket", "centre"])
+    placed_now = joined.select("bucket", "member").union(joined.select("bucket", "centre")).distinct()
+    marks = stored(
+        placed_now.withColumn("now", F.lit(True)).withColumn("done", F.lit(False))
+        .union(centres.select("bucket", F.col("centre").alias("member"), F.lit(False), F.lit(True)))
+        .groupBy("bucket", "member").agg(F.max("now").alias("now"), F.max("done").alias("done")),
+        "marks",
+    )
+    after = state.join(marks, ["bucket", "member"], "left")
+    now, done = F.coalesce("now", F.lit(False)), F.coalesce("done", F.lit(False))
+    return after.filter(F.col("placed") | now | ~done).select(
+        "bucket", "member", "distance", (F.col("placed") | now).alias("placed")
+    )
+
+
 def links(signed_representatives: DataFrame, documents: DataFrame) -> DataFrame:
     """All verified links between different texts that share a bucket, as far as components need them."""
     exploded = signed_representatives.select(F.col("doc_id").alias("member"), F.explode("bands").alias("bucket"))
@@ -247,24 +291,14 @@ def links(signed_representatives: DataFrame, documents: DataFrame) -> DataFrame:
             F.when(F.col("member") == F.col("centre"), F.lit(0.0)).otherwise(1 - F.col("similarity")).alias("distance"),
         ).withColumn("placed", _within(F.col("distance")))
     )
+    number = 1
     while not state.isEmpty():
-        centres = stored(state.filter(~F.col("placed")).groupBy("bucket").agg(F.min("member").alias("centre")), "centres")
+        centres = _centres(state, number)
         results = stored(verified(_pairs(state, centres), documents), "verified")
-        found.append(results.filter(F.col("similarity") >= SIMILARITY - _EPSILON).select("member", "centre"))
-        linked = F.coalesce(F.col("similarity") >= SIMILARITY - _EPSILON, F.col("member") == F.col("centre"))
-        compared = stored(
-            state.join(centres, "bucket").join(results, ["member", "centre"], "left").select(
-                "bucket", "member", "placed", "distance", linked.alias("linked"), (F.col("member") == F.col("centre")).alias("own")
-            ),
-            "compared",
-        )
-        # The new centre and all that is linked to it join the placed ones if any of those is linked to it.
-        joined = compared.groupBy("bucket").agg(F.max(F.col("placed") & F.col("linked")).alias("joins"))
-        state = _open(
-            compared.join(joined, "bucket")
-            .filter(F.col("joins") | ~F.col("own"))
-            .select("bucket", "member", "distance", (F.col("placed") | (F.col("joins") & F.col("linked"))).alias("placed"))
-        )
+        near = results.filter(F.col("similarity") >= SIMILARITY - _EPSILON).select("member", "centre")
+        found.append(near)
+        state = _open(_after_round(state, centres, near))
+        number *= 2
     result = found[0]
     for more in found[1:]:
         result = result.union(more)

@@ -33,14 +33,14 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 # One of these stands in every assignment and every sensitive word, in lower case; a text without any needs no search.
 ASSIGN_HINTS = ("passw", "secret", "token", "api")
 SENSITIVE_HINTS = ("passw", "secret", "token", "key", "auth", "credential", "bearer", "private", "pwd")
-SENSITIVE = re.compile(r"passw|secret|token|key|auth|credential|bearer|private|pwd", re.IGNORECASE | re.ASCII)
+SENSITIVE = re.compile(r"(?<![a-z])(?:passw|secret|token|api_?key|key|auth|credential|bearer|private|pwd)", re.IGNORECASE | re.ASCII)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 
 # How far behind a sensitive word a candidate may begin, how much text on either side primes the compressor, and the
-# compressed bytes per character from which a candidate counts as incompressible.
+# compressed bytes per character from which a candidate counts as incompressible (random hex digits take about 0.55).
 REACH = 64
 SURROUNDINGS = 512
-NOVELTY = 0.55
+NOVELTY = 0.5
 # A candidate longer than this is measured in pieces, so that its price stays in proportion.
 MEASURED = 4096
 
@@ -79,6 +79,12 @@ def base_spans(text: str, lowered: str) -> list[Span]:
     return found
 
 
+def is_mixed(candidate: str) -> bool:
+    """Generated strings mix digits with letters, or change from lower to upper case again and again; words do neither."""
+    has_digit, has_letter = re.search("[0-9]", candidate), re.search("[A-Za-z]", candidate)
+    return bool(has_digit and has_letter) or len(re.findall("[a-z][A-Z]", candidate)) >= 4
+
+
 def _compressed(context: bytes, content: bytes) -> int:
     primer = zstandard.ZstdCompressionDict(IDENTIFIERS.encode() + b" " + context, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     return len(zstandard.ZstdCompressor(level=6, dict_data=primer, write_content_size=False).compress(content))
@@ -109,7 +115,7 @@ def novel_spans(text: str, lowered: str, known: list[Span]) -> list[Span]:
             if m.start() > word.end() + REACH:
                 break
             # The rest of an identifier that holds the sensitive word itself is no value.
-            if m.start() > word.end():
+            if m.start() > word.end() and is_mixed(m.group()):
                 found[m.start()] = m.end()
             after = m.end()
     taken = sorted((s.start, s.end) for s in known)
