@@ -42,9 +42,7 @@ def folded(text: Column) -> Column:
 
     Lower case alone leaves three such letters: dotted capital I, dotless small i and long s.
     """
-    for letter, plain in (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s")):
-        text = F.replace(text, F.lit(letter), F.lit(plain))
-    return F.lower(text)
+    return F.lower(F.translate(text, "\u0130\u0131\u017f", "iis"))
 
 
 def folded_pattern(pattern: str) -> str:
@@ -57,24 +55,11 @@ def match_pattern(pattern: str) -> str:
     return pattern.removesuffix("$") + r"\n?\z"
 
 
-def first_group(text: Column, pattern: str) -> Column:
-    """Group 1 of the leftmost match of a search pattern, NULL without a match.
-
-    No rule captures an empty string, so an empty result always means "no match".
-    """
-    return F.nullif(F.regexp_extract(text, search_pattern(pattern), 1), F.lit(""))
-
-
 def strip(text: Column) -> Column:
     """Remove leading and trailing Unicode whitespace; looks at the two ends only."""
     return F.trim(text, F.lit(_BLANKS))
 
 
-def collapse_whitespace(text: Column) -> Column:
-    """One space for every run of whitespace: the form that text assembled from words has on a page."""
-    return strip(F.regexp_replace(text, f"[{WHITESPACE}]++", " "))
-
-
 def quoted(text: Column) -> Column:
     """The text as a Python string literal, the form in which messages show a value."""
     plain = F.replace(text, F.lit("\\"), F.lit("\\\\"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docfields import rules
@@ -49,17 +49,19 @@ def errors_by_field(checked: DataFrame) -> DataFrame:
 
 
 def histogram(
-    table: DataFrame, column: str, bounds: tuple[float, ...] = rules.LATENCY_BOUNDS_MS
+    table: DataFrame, column: str, bounds: tuple[float, ...] = rules.LATENCY_BOUNDS_MS, summed: Column | None = None
 ) -> DataFrame:
     """Cumulative buckets of a numeric column with the sum and number of its values.
 
+    ``summed`` may name an exact form of the value for the sum; the buckets compare the value itself.
+
     One pass and one row of counters, which is then turned into one row per upper bound (``+Inf`` last).
     """
     value = F.col(column)
     counters = table.agg(
         *[F.count_if(value <= bound).alias(f"b{i}") for i, bound in enumerate(bounds)],
         F.count(value).alias("observations"),
-        F.sum(value).alias("total"),
+        F.sum(value if summed is None else summed).alias("total"),
     )
     buckets = [
         F.struct(F.lit(str(bound)).alias("le"), F.col(f"b{i}").alias("bucket")) for i, bound in enumerate(bounds)
@@ -73,9 +75,13 @@ def histogram(
 def field_coverage(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     """Number of stored values for every field of the catalog, fields never extracted included.
 
-    The counted side has at most one row per extraction rule, so it is broadcast.
+    Every document has a type, so ``document_type`` counts documents. Names outside the catalog are dropped before they are
+    counted, which bounds what is broadcast by the size of the catalog.
     """
-    counted = rows.groupBy("field_name").agg(F.count("*").alias("extracted"))
-    return catalog.join(F.broadcast(counted), catalog["name"] == counted["field_name"], "left").select(
+    known = F.col("field_name").isin([name for name, *_ in rules.FIELD_CATALOG])
+    counted = rows.filter(known).groupBy("field_name").agg(F.count("*").alias("extracted"))
+    typed = rows.filter(F.col("doc_type").isNotNull()).agg(F.count_distinct("request_id").alias("extracted"))
+    every = counted.unionByName(typed.select(F.lit("document_type").alias("field_name"), "extracted"))
+    return catalog.join(F.broadcast(every), catalog["name"] == every["field_name"], "left").select(
         "name", "type", F.coalesce("extracted", F.lit(0)).alias("extracted")
     )

@@ -38,10 +38,23 @@ def _judged(pairs: DataFrame) -> DataFrame:
 
 
 def pair_tables(truth: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Pair two long tables (doc_id, name, value) over the union of their names per document."""
-    left = truth.select("doc_id", "name", F.col("value").alias("gt"))
-    right = predicted.select("doc_id", "name", F.col("value").alias("pred"))
-    return _judged(left.join(right, ["doc_id", "name"], "full_outer"))
+    """Pair two long tables (doc_id, name, value) over the union of their names per document.
+
+    Each side is folded into one map per document first, so documents and not values are joined. A document has a name once
+    on either side.
+    """
+    def folded(table: DataFrame, column: str) -> DataFrame:
+        entries = F.collect_list(F.struct("name", "value"))
+        return table.groupBy("doc_id").agg(F.map_from_entries(entries).alias(column))
+
+    none = F.create_map().cast("map<string,string>")
+    both = folded(truth, "gt_values").join(folded(predicted, "pred_values"), "doc_id", "full_outer").select(
+        "doc_id", F.coalesce("gt_values", none).alias("gt_values"), F.coalesce("pred_values", none).alias("pred_values")
+    )
+    names = F.array_union(F.map_keys("gt_values"), F.map_keys("pred_values"))
+    pairs = F.transform(names, lambda n: F.struct(
+        n.alias("name"), F.try_element_at("gt_values", n).alias("gt"), F.try_element_at("pred_values", n).alias("pred")))
+    return _judged(both.select("doc_id", F.explode_outer(pairs).alias("pair")).select("doc_id", "pair.*"))
 
 
 def _pairs(truth: Column) -> Column:

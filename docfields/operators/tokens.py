@@ -19,7 +19,8 @@ PART_WORDS = 4096
 PAGE_BLOCK = 1024
 
 # Exact, so that the sum does not depend on the order in which partial sums arrive.
-_CONFIDENCE_SUM_TYPE = "decimal(18,6)"
+# A confidence is at most three digits before the point; sixteen behind it keep every digit of a double.
+_CONFIDENCE_SUM_TYPE = "decimal(20,16)"
 
 
 def clean_words(words: DataFrame) -> DataFrame:
@@ -52,8 +53,8 @@ def number_pages(pages: DataFrame) -> DataFrame:
     """
     earlier = Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = (
-        pages.select("doc_id", "page_index", F.floor(F.col("page_index") / PAGE_BLOCK).alias("block")).distinct()
-        .groupBy("doc_id", "block").agg(F.sort_array(F.collect_list("page_index")).alias("indexes"))
+        pages.select("doc_id", "page_index", F.floor(F.col("page_index") / PAGE_BLOCK).alias("block"))
+        .groupBy("doc_id", "block").agg(F.sort_array(F.collect_set("page_index")).alias("indexes"))
         .withColumn("before", F.coalesce(F.sum(F.size("indexes")).over(earlier), F.lit(0)))
     )
     return blocks.select("doc_id", "before", F.posexplode("indexes").alias("place", "page_index")).select(
@@ -61,30 +62,41 @@ def number_pages(pages: DataFrame) -> DataFrame:
     )
 
 
-def _word_parts(words: DataFrame, pages: DataFrame | None) -> DataFrame:
+def _with_page_list(words: DataFrame, pages: DataFrame | None, *columns: Column | str) -> DataFrame:
+    """Word rows (``word`` is NULL for a blank one) and one wordless row for each entry of the page list."""
     rows = words.select(
         "doc_id", "page_index", "page_name", "pos",
         F.nullif(strip(F.col("text")), F.lit("")).alias("word"),
         F.col("conf").cast(_CONFIDENCE_SUM_TYPE).alias("conf"),
+        *columns,
     )
-    if pages is not None:
-        rows = rows.unionByName(
-            pages.select("doc_id", "page_index", "page_name", F.lit(0).alias("pos")), allowMissingColumns=True
-        )
+    if pages is None:
+        return rows
+    wordless = pages.select("doc_id", "page_index", "page_name", F.lit(0).alias("pos"))
+    return rows.unionByName(wordless, allowMissingColumns=True)
+
+
+def _part() -> Column:
+    return F.floor(F.col("pos") / PART_WORDS).alias("part")
+
+
+def _words_and_confidence() -> tuple[Column, Column]:
     return (
-        rows.groupBy("doc_id", "page_index", F.floor(F.col("pos") / PART_WORDS).alias("part"))
-        .agg(
-            F.min("page_name").alias("page_name"),
-            F.expr("listagg(word, ' ') WITHIN GROUP (ORDER BY pos)").alias("part_text"),
-            F.count("word").alias("token_count"),
-            F.sum(F.when(F.col("word").isNotNull(), F.col("conf"))).alias("conf_sum"),
-        )
+        F.count("word").alias("token_count"),
+        F.sum(F.when(F.col("word").isNotNull(), F.col("conf"))).alias("conf_sum"),
+    )
+
+
+def _word_parts(words: DataFrame, pages: DataFrame | None) -> DataFrame:
+    # The name goes with the page index, so it belongs to the key; as a minimum it would rule out hash aggregation.
+    return (
+        _with_page_list(words, pages).groupBy("doc_id", "page_index", "page_name", _part())
+        .agg(F.expr("listagg(word, ' ') WITHIN GROUP (ORDER BY pos)").alias("part_text"), *_words_and_confidence())
     )
 
 
 def _pages_of(parts: DataFrame) -> DataFrame:
-    return parts.groupBy("doc_id", "page_index").agg(
-        F.min("page_name").alias("page_name"),
+    return parts.groupBy("doc_id", "page_index", "page_name").agg(
         F.coalesce(F.expr("listagg(part_text, ' ') WITHIN GROUP (ORDER BY part)"), F.lit("")).alias("page_text"),
         F.sum("token_count").alias("token_count"),
         F.sum("conf_sum").alias("conf_sum"),
@@ -125,6 +137,13 @@ def assemble_documents(words: DataFrame, pages: DataFrame | None = None) -> Data
     )
 
 
+def page_statistics(words: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Word count and mean confidence of every page, without its text: numbers alone, in hash aggregates."""
+    counted = _with_page_list(words, pages).groupBy("doc_id", "page_index", "page_name").agg(*_words_and_confidence())
+    mean = _mean_confidence(F.col("conf_sum"), F.col("token_count"))
+    return counted.select("doc_id", "page_index", "page_name", "token_count", mean.alias("avg_confidence"))
+
+
 def fingerprint(pages: DataFrame, content: str = "page_text") -> DataFrame:
     """SHA-256 over the page contents of a document in lexicographic order of the page names.
 
@@ -136,27 +155,34 @@ def fingerprint(pages: DataFrame, content: str = "page_text") -> DataFrame:
     )
 
 
-def ocr_results(words: DataFrame) -> DataFrame:
-    """Nested page results: ordered tokens, text and statistics (``schemas.OCR_RESULT``).
+def fingerprint_words(words: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """The fingerprint straight from a word table; finished parts move once, by document."""
+    return fingerprint(_pages_of(_word_parts(words, pages).repartition("doc_id")))
+
 
-    A page is one record (part 0) as long as its positions stay below ``PART_WORDS``; a longer page goes on
-    in further parts, so that no record grows without bound. Parts are grouped first; only they are joined
-    with the page numbers.
+def ocr_results(words: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """One nested result per page (``schemas.OCR_RESULT``): ordered tokens, text and page-wide statistics.
+
+    Every page of the page list and of the word table has a record; a page without words has no tokens, an empty text
+    and confidence 0. Tokens are sorted in parts, which move once, by document; a page, however long, is one record,
+    so its tokens must fit one cell (2 GB). Pages are numbered where they meet, in the order of their index.
     """
-    tokens = clean_words(words).withColumn("part", F.floor(F.col("pos") / PART_WORDS).cast("int"))
-    parts = tokens.groupBy("doc_id", "page_index", "part").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "text", "confidence", "bbox"))).alias("tokens"),
-        F.expr("listagg(text, ' ') WITHIN GROUP (ORDER BY pos)").alias("full_text"),
-        F.count("*").alias("token_count"),
-        F.sum((F.col("confidence") * 100).cast(_CONFIDENCE_SUM_TYPE)).alias("conf_sum"),
+    box = F.array(F.col("left"), F.col("top"), F.col("left") + F.col("width"), F.col("top") + F.col("height"))
+    rows = _with_page_list(words, pages, (F.col("conf") / 100).alias("confidence"), box.alias("bbox"))
+    token = F.struct("pos", F.col("word").alias("text"), "confidence", "bbox")
+    parts = rows.groupBy("doc_id", "page_index", _part()).agg(
+        F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), token))).alias("tokens"), *_words_and_confidence()
+    )
+    gathered = parts.repartition("doc_id").groupBy("doc_id", "page_index").agg(
+        F.array_sort(F.collect_list(F.struct("part", "tokens"))).alias("parts"),
+        F.sum("token_count").alias("token_count"), F.sum("conf_sum").alias("conf_sum"),
     )
-    numbered = parts.join(number_pages(words), ["doc_id", "page_index"])
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_index"))
+    numbered = gathered.withColumn("page_num", number).withColumn("tokens", F.flatten("parts.tokens"))
     return numbered.select(
-        "doc_id", "page_num", "part",
-        F.transform(
-            "tokens", lambda t: F.struct(t["text"], t["confidence"], t["bbox"], F.col("page_num"))
-        ).alias("tokens"),
-        "full_text",
+        "doc_id", "page_num",
+        F.transform("tokens", lambda t: F.struct(t["text"], t["confidence"], t["bbox"], F.col("page_num"))).alias("tokens"),
+        F.array_join("tokens.text", " ").alias("full_text"),
         F.struct(
             _mean_confidence(F.col("conf_sum"), F.col("token_count")).alias("avg_confidence"), "token_count"
         ).alias("metadata"),

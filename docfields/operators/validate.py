@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docfields import rules
-from docfields.functions.amounts import amount_text, fixed_text, fraction_length, normalize_amount
+from docfields.functions.amounts import amount_text, difference_text, exceeds, fraction_length, normalize_amount, sum_difference
 from docfields.functions.dates import normalize_date
 from docfields.functions.text import match_pattern, quoted
 from docfields.schemas import MESSAGE
@@ -33,13 +33,13 @@ def breaks_format(field: str, value: Column) -> Column:
 
 
 def total_difference(subtotal: Column, tax: Column, total: Column) -> Column:
-    """Absolute difference between subtotal plus tax and total; NULL unless all three are numbers."""
-    return F.abs(normalize_amount(subtotal) + normalize_amount(tax) - normalize_amount(total))
+    """Absolute difference between subtotal plus tax and total (see ``sum_difference``); NULL unless all are numbers."""
+    return sum_difference(normalize_amount(subtotal), normalize_amount(tax), normalize_amount(total))
 
 
 def breaks_totals(subtotal: Column, tax: Column, total: Column, tolerance: str) -> Column:
     """Whether the totals differ by more than the tolerance; exactly on it passes."""
-    return total_difference(subtotal, tax, total) > F.lit(tolerance).cast("decimal(28,10)")
+    return exceeds(total_difference(subtotal, tax, total), tolerance)
 
 
 def is_earlier(date: Column, other: Column) -> Column:
@@ -66,7 +66,7 @@ def _totals_text() -> Column:
     subtotal, tax, total = (amount_text(amount) for amount in amounts)
     return F.concat(
         F.lit("subtotal ("), subtotal, F.lit(") + tax ("), tax, F.lit(") != total ("), total,
-        F.lit("); diff="), fixed_text(total_difference(*amounts), digits),
+        F.lit("); diff="), difference_text(total_difference(*amounts), digits),
     )
 
 

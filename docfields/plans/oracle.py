@@ -117,7 +117,7 @@ def _format(field: str, pattern: str) -> str:
     )
 
 
-_MEAN = "coalesce(sum(case when word <> '' then conf::decimal(18,6) end)::double / nullif(count(nullif(word, '')), 0) / 100, 0.0)"
+_MEAN = "coalesce(sum(case when word <> '' then conf::decimal(20,16) end)::double / nullif(count(nullif(word, '')), 0) / 100, 0.0)"
 
 def _wide(source: str, true_type: str) -> str:
     return (
@@ -244,18 +244,28 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     # The same rules over the text that the words give: pages of twelve words, some of them blank.
     "wide_w": (("dtexts",), _wide("(select doc_id, full_text as text from dtexts)", "null")),
     "checked_w": (("wide_w",), _checks("wide_w")),
+    "found": (
+        ("checked_w",),
+        "select doc_id, rid, list_filter(["
+        + ", ".join(f"{{'f': '{f}', 'm': msg_{f}}}" for f in _ERRORS)
+        + "], lambda x: x.m is not null) as errs, "
+        "list_filter([{'f': 'due_date', 'm': msg_due_date}], lambda x: x.m is not null) as warns from checked_w",
+    ),
     "frows_w": (("checked_w",), _field_rows("checked_w")),
     "words": (
-        ("corpus",),
-        "select doc_id, pg::integer as page_index, 'page' || pg as page_name, ((i % 12) * 2 + sub)::integer as pos, shown as text, "
+        ("tokens_",),
+        "select doc_id, (i // 12 + i // 48 + bp)::integer as page_index, 'page' || (i // 12 + i // 48 + bp) as page_name, "
+        "case when bp = 1 then 0 else (i % 12) * 2 + sub end::integer as pos, shown as text, "
         f"trim(shown, {_SPACES}) as word, (50 + (i * 7) % 50)::double as conf, ((i % 12) * 40)::integer as left_, "
         "((i // 12) * 20)::integer as top_, (8 * length(shown))::integer as width_, 16 as height_ from ("
-        "select doc_id, i, pg, unnest(pair) as shown, generate_subscripts(pair, 1) - 1 as sub from ("
-        "select doc_id, i, pg, case when i % 9 = 0 then [s, ' '] else [s] end as pair from ("
-        "select doc_id, i, i // 12 as pg, case when (i // 12) % 5 = 3 then ' ' "
-        "when i % 5 = 0 then '  ' || token || chr(9) else token end as s from ("
+        "select doc_id, i, 0 as bp, 0 as sub, case when i % 5 = 0 then '  ' || token || chr(9) else token end as shown from tokens_ "
+        "union all select doc_id, i, 0, 1, ' ' from tokens_ where i % 9 = 0 "
+        "union all select doc_id, i, 1, 0, ' ' from tokens_ where i % 48 = 47)",
+    ),
+    "tokens_": (
+        ("corpus",),
         "select doc_id, unnest(w) as token, generate_subscripts(w, 1) - 1 as i from ("
-        r"select doc_id, string_split_regex(text, '[ \t\r\n]+') as w from corpus)))))",
+        r"select doc_id, string_split_regex(text, '[ \t\r\n]+') as w from corpus)",
     ),
     "toks": (("words",), "select * from words where word <> ''"),
     "ptexts": (
@@ -323,12 +333,11 @@ def _round(value: str) -> str:
 
 
 def _histogram(column: str, table: str, bounds: tuple[int, ...]) -> str:
-    value = f"{column}::decimal(18,2)"
     labels = _names([str(b) for b in bounds] + ["+Inf"])
-    counts = _list([f"count(*) filter ({value} <= {b})" for b in bounds] + [f"count({column})"])
+    counts = _list([f"count(*) filter ({column} <= {b})" for b in bounds] + [f"count({column})"])
     return (
         f"select unnest({labels}) as le, unnest(b) as bucket, observations, total from (select {counts} as b, "
-        f"count({column}) as observations, sum({value})::double as total from {table})"
+        f"count({column}) as observations, sum({column}::decimal(18,2))::double as total from {table})"
     )
 
 
@@ -379,7 +388,7 @@ def all_statements() -> dict[str, str]:
         "predictions_long": _statement("select *, 'regex' as source from preds", "preds"),
         "field_map": _statement("select * from preds", "preds"),
         "normalize_amounts": _statement(
-            "select doc_id, " + ", ".join(f"{_amount(f)}::double as {f}" for f in rules.AMOUNT_FIELDS) + " from wide",
+            "select doc_id, " + ", ".join(f"try_cast({f} as double) as {f}" for f in rules.AMOUNT_FIELDS) + " from wide",
             "wide",
         ),
         "normalize_dates": _statement(
@@ -393,6 +402,10 @@ def all_statements() -> dict[str, str]:
         "check_totals": _statement(
             "select doc_id, difference::double as difference, msg_total_amount as message from checked", "checked"
         ),
+        # Subtotal and tax are 0 or 1 and the total is larger than both, so it always differs.
+        "huge_amounts": "select 'huge-' || o_orderkey as doc_id, "
+        "repeat('9', (o_orderkey % 40)::integer) || round(o_totalprice * 100)::bigint as digits, "
+        "true as differs from orders",
         "check_due_date": _statement("select doc_id, msg_due_date as message from checked", "checked"),
         "check_expiry": _statement("select doc_id, msg_expiry_date as message from checked", "checked"),
         "messages": _statement("select * from msgs", "msgs"),
@@ -411,11 +424,46 @@ def all_statements() -> dict[str, str]:
             + f" as n_fields, {_COUNT_ERRORS} as n_errors, {_WARNED} as n_warnings from checked",
             "checked",
         ),
+        # Every page has a record; those without words give one row without a token.
         "ocr_json_roundtrip": _statement(
-            "select doc_id, page_index + 1 as page_num, count(*) over (partition by doc_id, page_index) as token_count, "
+            "select p.doc_id, p.page_num, p.page_text as full_text, p.token_count, p.avg_confidence, t.n, t.text, t.confidence, "
+            "t.x0, t.y0, t.x1, t.y1 from (select *, (row_number() over (partition by doc_id order by page_index))::integer "
+            "as page_num from ptexts) p left join (select doc_id, page_index, "
             "(row_number() over (partition by doc_id, page_index order by pos) - 1)::integer as n, word as text, "
-            "conf / 100 as confidence, left_ as x0, top_ as y0, left_ + width_ as x1, top_ + height_ as y1 from toks",
+            "conf / 100 as confidence, left_ as x0, top_ as y0, left_ + width_ as x1, top_ + height_ as y1 from toks) t "
+            "on p.doc_id = t.doc_id and p.page_index = t.page_index",
             "toks",
+            "ptexts",
+        ),
+        "words_complete": _statement(
+            "select (select count(*) from tokens_ where token <> '') as tokens, count(*) as words, "
+            "sum(length(word))::bigint as characters from toks",
+            "toks",
+        ),
+        "response_from_words": _statement(
+            "select sha256(e.rid) as request_id, a.avg_confidence as ocr_avg_confidence, list, place, x.f as field, x.m as message, "
+            "case list when 'errors' then 'error' when 'warnings' then 'warning' end as level from found e "
+            "join (select doc_id, " + _MEAN + " as avg_confidence from words group by 1) a on a.doc_id = e.doc_id "
+            "left join (select doc_id, 'errors' as list, unnest(range(len(errs)))::integer as place, unnest(errs) as x from found "
+            "union all select doc_id, 'warnings', unnest(range(len(warns)))::integer, unnest(warns) from found) l on l.doc_id = e.doc_id",
+            "found",
+            "words",
+        ),
+        "words_stored": _statement(
+            "select form, page_index, count(*) as words, sum(pos)::bigint as positions, sum(length(shown))::bigint as characters, "
+            "sum(conf) as confidence, sum(left_)::bigint as left_sum, max(height_) as height "
+            "from (select text as shown, * from words), (select unnest(['parquet', 'json']) as form) group by 1, 2",
+            "words",
+        ),
+        "documents_stored": _statement("select doc_id, sha256(text) as digest, true as same from corpus", "corpus"),
+        "stream_docs_by_type": _statement("select doc_type, count(*) as documents from wide group by 1", "wide"),
+        "stream_errors_by_field": _statement(
+            "select field, count(*) as errors from msgs where level = 'error' group by 1", "msgs"
+        ),
+        "stream_and_batch": _statement(
+            "select field_name, valid, 3 * count(*) as stored, 3 * count(distinct request_id) as requests, "
+            "3 * count(*) as stamped from frows group by 1, 2",
+            "frows",
         ),
         "admitted": _statement("select * from filenames where lower(name) like '%.pdf'", "filenames"),
         "rejected": _statement(
@@ -425,7 +473,8 @@ def all_statements() -> dict[str, str]:
             f"select name, type, coalesce(n, 0) as extracted from (select "
             f"unnest({_names([c[0] for c in rules.FIELD_CATALOG])}) as name, "
             f"unnest({_names([c[1] for c in rules.FIELD_CATALOG])}) as type) left join "
-            "(select field_name, count(*) as n from frows group by 1) on name = field_name",
+            "(select field_name, count(*) as n from frows group by 1 union all "
+            "select 'document_type', count(distinct request_id) from frows) on name = field_name",
             "frows",
         ),
         "top_failures": _statement("select * from ranking", "ranking"),
@@ -479,6 +528,14 @@ def all_statements() -> dict[str, str]:
     made["extract_from_words"] = _statement(f"{_ROWS}_w", "frows_w")
     made["eval_pairs_local"] = made["eval_pairs"]
     made["eval_written"] = made["eval_report"]
+    made["eval_written_samples"] = made["eval_records"]
+    made["eval_written_micro"] = _statement(
+        f"select n_samples, tp, fp, fn, {_round('precision')} as precision, {_round('recall')} as recall, "
+        f"{_round('2 * precision * recall / (precision + recall)')} as f1 from (select *, tp / (tp + fp) as precision, "
+        "tp / (tp + fn) as recall from (select sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(fn)::bigint as fn from counts)), "
+        "(select count(*) as n_samples from corpus)",
+        "counts",
+    )
     for field in rules.RULE_FIELDS:
         made[f"extract_{field}"] = _statement(f"select doc_id, {field} from wide", "wide")
     for field, _ in rules.FORMAT_RULES:

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docfields import rules
-from docfields.functions.amounts import normalize_amount
+from docfields.functions.amounts import difference_text, normalize_amount
 from docfields.functions.dates import normalize_date
 from docfields.operators import analytics, evaluate, extract, records, tokens, validate
-from docfields.schemas import FIELD_REPORT, OCR_RESULT, RESPONSE
+from docfields.schemas import FIELD_REPORT, MICRO_REPORT, OCR_RESULT, RESPONSE, SAMPLE_RECORD
 from docfields.session import fresh_path
 from docfields.sources import admission, corpora, readers, writers
 from docfields.streaming import jobs
@@ -93,6 +93,16 @@ def words_boxes(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.clean_words(_words(spark, folder)).select("doc_id", "pos", *corners)
 
 
+def words_complete(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of all texts against the cleaned words: none may be lost."""
+    texts = corpora.everything(spark, folder).select(F.explode(F.split("text", r"[ \t\r\n]+")).alias("token"))
+    cleaned = tokens.clean_words(_words(spark, folder)).agg(
+        F.count("*").alias("words"), F.sum(F.length("text")).alias("characters")
+    )
+    counted = texts.filter(F.col("token") != "").agg(F.count("*"))
+    return cleaned.select(counted.scalar().alias("tokens"), "words", "characters")
+
+
 def page_renumber(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.number_pages(_words(spark, folder))
 
@@ -110,8 +120,7 @@ def document_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def page_stats(spark: SparkSession, folder: str) -> DataFrame:
-    pages = tokens.assemble_pages(_words(spark, folder))
-    return pages.select("doc_id", "page_index", "token_count", "avg_confidence")
+    return tokens.page_statistics(_words(spark, folder)).drop("page_name")
 
 
 def document_stats(spark: SparkSession, folder: str) -> DataFrame:
@@ -120,7 +129,7 @@ def document_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def document_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
-    return tokens.fingerprint(tokens.assemble_pages(_words(spark, folder)))
+    return tokens.fingerprint_words(_words(spark, folder))
 
 
 def extract_from_words(spark: SparkSession, folder: str) -> DataFrame:
@@ -129,6 +138,51 @@ def extract_from_words(spark: SparkSession, folder: str) -> DataFrame:
     return records.field_rows(validate.check(extract.extract(documents, text="full_text")), RUN_ID)
 
 
+def response_from_words(spark: SparkSession, folder: str) -> DataFrame:
+    """Words to nested responses with the mean confidence of their words, and the messages inside them, one row each."""
+    assembled = tokens.assemble_documents(_words(spark, folder)).select("doc_id", "full_text", "avg_confidence")
+    checked = validate.check(extract.extract(assembled, text="full_text"))
+    nested = records.responses(checked, RUN_ID, confidence=F.col("avg_confidence"))
+    summary = F.col("documents")[0]["validation_summary"]
+    listed = F.concat(
+        F.transform(summary["errors"], lambda m, i: F.struct(F.lit("errors").alias("list"), i.alias("place"), m.alias("m"))),
+        F.transform(summary["warnings"], lambda m, i: F.struct(F.lit("warnings").alias("list"), i.alias("place"), m.alias("m"))),
+    )
+    return nested.select(
+        "request_id", "metrics.ocr_avg_confidence", F.explode_outer(listed).alias("entry")
+    ).select("request_id", "ocr_avg_confidence", "entry.list", "entry.place", "entry.m.field", "entry.m.message", "entry.m.level")
+
+
+def words_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """Word tables in each stored form, read back."""
+    words = _words(spark, folder)
+    counted = []
+    for form in ("parquet", "json"):
+        path = fresh_path(spark, f"words-{form}")
+        words.write.format(form).save(path)
+        counted.append(readers.read_words(spark, path, form).withColumn("form", F.lit(form)))
+    return counted[0].unionByName(counted[1]).groupBy("form", "page_index").agg(
+        F.count("*").alias("words"), F.sum("pos").alias("positions"), F.sum(F.length("text")).alias("characters"),
+        F.sum("conf").alias("confidence"), F.sum("left").alias("left_sum"), F.max("height").alias("height"),
+    )
+
+
+def documents_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """Document texts under other column names, stored as JSON lines and as text with a header, read back."""
+    texts = corpora.everything(spark, folder).select(F.col("doc_id").alias("key"), F.col("text").alias("body"))
+    lines, table = fresh_path(spark, "texts-json"), fresh_path(spark, "texts-csv")
+    texts.write.json(lines)
+    texts.write.option("header", True).option("multiLine", True).option("escape", '"').csv(table)
+    schema = "key STRING, body STRING"
+    found = readers.read_documents(spark, lines, "json", "key", "body", schema=schema)
+    other = readers.read_documents(
+        spark, table, "csv", "key", "body", schema=schema, options={"header": True, "multiLine": True, "escape": '"'}
+    )
+    return found.join(other.withColumnRenamed("text", "other"), "doc_id").select(
+        "doc_id", F.sha2("text", 256).alias("digest"), F.col("text").eqNullSafe(F.col("other")).alias("same")
+    )
+
+
 # --- extraction --------------------------------------------------------------------------------------------
 
 
@@ -187,8 +241,22 @@ def _check_format(field: str) -> Query:
 def check_totals(spark: SparkSession, folder: str) -> DataFrame:
     difference = validate.total_difference(*[F.col(f) for f in rules.AMOUNT_FIELDS])
     return _checked(spark, folder).select(
-        "doc_id", difference.cast("double").alias("difference"), _message_text("total_amount")
+        "doc_id", difference_text(difference, F.lit(40)).cast("double").alias("difference"), _message_text("total_amount")
+    )
+
+
+def huge_amounts(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals of amounts that no decimal type holds: every order's sum behind as many more digits as its key gives."""
+    cents = F.round(F.col("o_totalprice") * 100).cast("bigint").cast("string")
+    head = F.repeat(F.lit("9"), (F.col("o_orderkey") % 40).cast("int"))
+    texts = _table(spark, folder, "orders").select(
+        F.concat(F.lit("huge-"), "o_orderkey").alias("doc_id"),
+        F.concat(
+            F.lit("Subtotal: 0"), F.when(F.col("o_orderkey") % 3 == 0, "1").otherwise("0"), F.lit(" Tax: 0 Total: "), head, cents
+        ).alias("text"),
+        F.concat(head, cents).alias("digits"),
     )
+    return validate.check(extract.extract(texts)).select("doc_id", "digits", F.col("bad_total_amount").alias("differs"))
 
 
 def check_due_date(spark: SparkSession, folder: str) -> DataFrame:
@@ -257,11 +325,15 @@ def persisted_extractions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ocr_json_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages with their texts and statistics, one row per token; a page without words has one row without."""
     path = fresh_path(spark, "ocr")
     writers.write_ocr_results(tokens.ocr_results(_words(spark, folder)), path)
     pages = spark.read.schema(OCR_RESULT).json(path)
-    return pages.select("doc_id", "page_num", "metadata.token_count", F.posexplode("tokens").alias("n", "t")).select(
-        "doc_id", "page_num", "token_count", "n", "t.text", "t.confidence",
+    return pages.select(
+        "doc_id", "page_num", "full_text", "metadata.token_count", "metadata.avg_confidence",
+        F.posexplode_outer("tokens").alias("n", "t"),
+    ).select(
+        "doc_id", "page_num", "full_text", "token_count", "avg_confidence", "n", "t.text", "t.confidence",
         *[F.col("t.bbox")[i].alias(name) for i, name in enumerate(("x0", "y0", "x1", "y1"))],
     )
 
@@ -322,13 +394,16 @@ def errors_by_field(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def histogram_event_value(spark: SparkSession, folder: str) -> DataFrame:
-    table = _table(spark, folder, "events").select(F.col("value").cast("decimal(18,2)").alias("value"))
-    return analytics.histogram(table, "value").withColumn("total", F.col("total").cast("double"))
+    """Buckets of the values as they are; only the sum is made exact."""
+    exact = F.col("value").cast("decimal(18,2)")
+    found = analytics.histogram(_table(spark, folder, "events"), "value", summed=exact)
+    return found.withColumn("total", F.col("total").cast("double"))
 
 
 def histogram_order_price(spark: SparkSession, folder: str) -> DataFrame:
-    table = _table(spark, folder, "orders").select(F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
-    return analytics.histogram(table, "price", PRICE_BOUNDS).withColumn("total", F.col("total").cast("double"))
+    exact = F.col("o_totalprice").cast("decimal(18,2)")
+    found = analytics.histogram(_table(spark, folder, "orders"), "o_totalprice", PRICE_BOUNDS, summed=exact)
+    return found.withColumn("total", F.col("total").cast("double"))
 
 
 # --- evaluation --------------------------------------------------------------------------------------------
@@ -364,23 +439,39 @@ def eval_sample_count(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.sample_count(corpora.everything(spark, folder))
 
 
-def eval_records(spark: SparkSession, folder: str) -> DataFrame:
-    table = evaluate.sample_records(validate.check(_samples(spark, folder)))
-    return table.select(
+def _record_rows(stored: DataFrame) -> DataFrame:
+    return stored.select(
         "doc_id", "doc_type_predicted", "doc_type_truth",
         F.size("validation_errors").alias("n_errors"), F.size("validation_warnings").alias("n_warnings"),
         F.explode_outer("fields").alias("name", "field"),
     ).select("*", "field.*").drop("field")
 
 
+def eval_records(spark: SparkSession, folder: str) -> DataFrame:
+    return _record_rows(evaluate.sample_records(validate.check(_samples(spark, folder))))
+
+
 def eval_report(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.report(_outcomes(spark, folder))
 
 
-def eval_written(spark: SparkSession, folder: str) -> DataFrame:
+def _written_evaluation(spark: SparkSession, folder: str) -> str:
     path = fresh_path(spark, "evaluation")
     writers.write_evaluation(spark, evaluate.sample_records(validate.check(_samples(spark, folder))), path)
-    return spark.read.schema(FIELD_REPORT).json(f"{path}/per_field")
+    return path
+
+
+def eval_written(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(FIELD_REPORT).json(f"{_written_evaluation(spark, folder)}/per_field")
+
+
+def eval_written_micro(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(MICRO_REPORT).json(f"{_written_evaluation(spark, folder)}/micro")
+
+
+def eval_written_samples(spark: SparkSession, folder: str) -> DataFrame:
+    stored = spark.read.schema(SAMPLE_RECORD).json(f"{_written_evaluation(spark, folder)}/samples")
+    return _record_rows(stored)
 
 
 # --- streaming ---------------------------------------------------------------------------------------------
@@ -406,21 +497,46 @@ def stream_failures(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.latest_ranking(spark, sink)
 
 
+def stream_docs_by_type(spark: SparkSession, folder: str) -> DataFrame:
+    sink, checkpoint = fresh_path(spark, "stream-types"), fresh_path(spark, "stream-types-log")
+    jobs.running_documents_by_type(_arriving_documents(spark, folder), sink, checkpoint).awaitTermination()
+    return jobs.latest_state(spark, sink, "doc_type STRING, documents BIGINT")
+
+
+def stream_errors_by_field(spark: SparkSession, folder: str) -> DataFrame:
+    sink, checkpoint = fresh_path(spark, "stream-errors"), fresh_path(spark, "stream-errors-log")
+    jobs.running_errors_by_field(_arriving_documents(spark, folder), sink, checkpoint).awaitTermination()
+    return jobs.latest_state(spark, sink, "field STRING, errors BIGINT")
+
+
+def stream_and_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """A batch run, a stream and a second batch run into one stored table: all of their rows."""
+    path, checkpoint = fresh_path(spark, "shared-rows"), fresh_path(spark, "shared-rows-log")
+    checked = _checked(spark, folder)
+    writers.append_extractions(records.field_rows(checked, "before"), path, "before")
+    jobs.extract_and_store(_arriving_documents(spark, folder), path, checkpoint, RUN_ID).awaitTermination()
+    writers.append_extractions(records.field_rows(checked, "after"), path, "after")
+    rows = readers.read_extractions(spark, path)
+    return rows.groupBy("field_name", "valid").agg(
+        F.count("*").alias("stored"), F.count_distinct("request_id").alias("requests"), F.count("created_at").alias("stamped")
+    )
+
+
 def all_queries() -> dict[str, Query]:
     plain = (
         corpus_invoices, corpus_id_cards, corpus_all, corpus_truth,
-        words_clean, words_boxes, page_renumber, page_cap, page_text, document_text, page_stats,
-        document_stats, document_fingerprint, extract_from_words,
+        words_clean, words_boxes, words_complete, page_renumber, page_cap, page_text, document_text, page_stats,
+        document_stats, document_fingerprint, extract_from_words, response_from_words, words_stored, documents_stored,
         amounts_clean, extract_mrz, doc_type, predictions_long, field_map,
         normalize_amounts, normalize_dates,
-        check_totals, check_due_date, check_expiry, messages, error_warning_split, is_valid, field_valid,
+        check_totals, huge_amounts, check_due_date, check_expiry, messages, error_warning_split, is_valid, field_valid,
         response_nested, response_flat, response_json_roundtrip, persisted_extractions, ocr_json_roundtrip,
         admitted, rejected,
         field_coverage, top_failures, recurrent_failures, low_accuracy_values, responses_with_failures,
         docs_by_type, errors_by_field, histogram_event_value, histogram_order_price,
         eval_normalized, eval_pairs, eval_pairs_local, eval_counts, eval_field_metrics, eval_micro,
-        eval_sample_count, eval_records, eval_report, eval_written,
-        stream_extract, stream_failures,
+        eval_sample_count, eval_records, eval_report, eval_written, eval_written_micro, eval_written_samples,
+        stream_extract, stream_failures, stream_docs_by_type, stream_errors_by_field, stream_and_batch,
     )
     found: dict[str, Query] = {query.__name__: query for query in plain}
     found.update({f"extract_{field}": _extract_field(field) for field in rules.RULE_FIELDS})

@@ -19,10 +19,6 @@ WORDS = _struct(
 
 DOCUMENTS = _struct(("doc_id", _S), ("text", _S))
 
-PREDICTIONS = _struct(("doc_id", _S), ("name", _S), ("value", _S), ("confidence", _D), ("source", _S))
-
-TRUTH = _struct(("doc_id", _S), ("name", _S), ("value", _S))
-
 MESSAGE = _struct(("field", _S), ("message", _S), ("level", _S))
 
 FIELD = _struct(("value", _S), ("confidence", _D), ("valid", _B))
@@ -61,7 +57,7 @@ CATALOG = _struct(
 TOKEN = _struct(("text", _S), ("confidence", _D), ("bbox", T.ArrayType(_I)), ("page_num", _I))
 
 OCR_RESULT = _struct(
-    ("doc_id", _S), ("page_num", _I), ("part", _I), ("tokens", T.ArrayType(TOKEN)), ("full_text", _S),
+    ("doc_id", _S), ("page_num", _I), ("tokens", T.ArrayType(TOKEN)), ("full_text", _S),
     ("metadata", _struct(("avg_confidence", _D), ("token_count", _L))),
 )
 
@@ -76,4 +72,4 @@ _SCORES = (("tp", _L), ("fp", _L), ("fn", _L), ("precision", _D), ("recall", _D)
 
 FIELD_REPORT = _struct(("field", _S), *_SCORES)
 
-MICRO_REPORT = _struct(*_SCORES)
+MICRO_REPORT = _struct(("n_samples", _L), *_SCORES)

@@ -178,24 +178,37 @@ def truth_table(corpus: DataFrame) -> DataFrame:
 
 
 def words_of(corpus: DataFrame) -> DataFrame:
-    """A word table as a recogniser would give it for the documents of a corpus.
+    """A word table as a recogniser would give it for the documents of a corpus; every token of a text is in it.
 
-    Twelve words make a page, and positions count within it. Every ninth word is followed by a blank one, every fifth is padded, and every
-    fourth page of a run of five holds blanks only.
+    Twelve words make a page, and positions count within it. Every fifth word is padded, every ninth word is followed
+    by a blank one, and after every fourth page of words comes a page with one blank word only.
     """
     order = F.col("order")
-    padded = F.when(order % 5 == 0, F.concat(F.lit("  "), F.col("token"), F.lit("\t"))).otherwise(F.col("token"))
-    pair = F.when(order % 9 == 0, F.array(F.col("shown"), F.lit(" "))).otherwise(F.array(F.col("shown")))
+    written = F.floor(order / 12).cast("int")
+    padded = F.when(order % 5 == 0, F.concat(F.lit("  "), F.col("token"), F.lit("\t"))).otherwise(F.col("token"))
+
+    def entry(text: Column, blank_page: bool, extra: int) -> Column:
+        return F.struct(text.alias("text"), F.lit(int(blank_page)).alias("blank_page"), F.lit(extra).alias("extra"))
+
+    word, blank, page = entry(padded, False, 0), entry(F.lit(" "), False, 1), entry(F.lit(" "), True, 0)
+    opens_blank_page = order % 48 == 47
+    entries = (
+        F.when((order % 9 == 0) & opens_blank_page, F.array(word, blank, page))
+        .when(order % 9 == 0, F.array(word, blank))
+        .when(opens_blank_page, F.array(word, page))
+        .otherwise(F.array(word))
+    )
+    # Four written pages, then a blank one.
+    page_index = written + F.floor(written / 4).cast("int") + F.col("blank_page")
     return (
         corpus.select("doc_id", F.posexplode(F.split("text", r"[ \t\r\n]+")).alias("order", "token"))
-        .withColumn("page_index", F.floor(order / 12).cast("int"))
-        .withColumn("shown", F.when(F.col("page_index") % 5 == 3, " ").otherwise(padded))
-        .select("*", F.posexplode(pair).alias("extra", "text"))
+        .select("doc_id", "order", F.inline(entries))
+        .select("doc_id", "order", "text", "extra", "blank_page", page_index.alias("page_index"))
         .select(
             "doc_id",
             F.concat(F.lit("page"), F.col("page_index")).alias("page_name"),
             "page_index",
-            (order % 12 * 2 + F.col("extra")).alias("pos"),
+            F.when(F.col("blank_page") == 1, F.lit(0)).otherwise(order % 12 * 2 + F.col("extra")).cast("int").alias("pos"),
             "text",
             (50 + (order * 7) % 50).cast("double").alias("conf"),
             ((order % 12) * 40).alias("left"),

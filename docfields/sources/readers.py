@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from docfields import rules, schemas
 
@@ -21,10 +24,18 @@ def read_words(spark: SparkSession, path: str, format: str = "parquet") -> DataF
 
 
 def read_documents(
-    spark: SparkSession, path: str, format: str = "parquet", doc_id: str = "doc_id", text: str = "text"
+    spark: SparkSession, path: str, format: str = "parquet", doc_id: str = "doc_id", text: str = "text",
+    schema: str | StructType | None = None, options: dict[str, Any] | None = None,
 ) -> DataFrame:
-    """Document texts; any two columns can be named as id and text."""
-    table = spark.read.format(format).load(path)
+    """Document texts; any two columns can be named as id and text.
+
+    Parquet files carry their schema; for other formats it defaults to the two columns as strings. ``options`` go to the
+    reader, such as ``header`` for text with a header.
+    """
+    reader = spark.read.format(format).options(**(options or {}))
+    if schema is None and format not in ("parquet", "orc"):
+        schema = StructType([StructField(doc_id, StringType()), StructField(text, StringType())])
+    table = (reader if schema is None else reader.schema(schema)).load(path)
     return table.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"))
 
 

@@ -12,9 +12,10 @@ from docfields.schemas import SAMPLE_RECORD
 def append_extractions(rows: DataFrame, path: str, run_id: str) -> None:
     """Add the field rows of one run to the stored table; no rows add nothing.
 
-    Every run owns a directory, partitioned by document type, so a retry cannot store its rows twice.
+    Every run owns a directory, partitioned by document type, so a retry cannot store its rows twice. A batch run is one
+    epoch; streams have many.
     """
-    stamp(rows).write.mode("overwrite").partitionBy("doc_type").parquet(f"{path}/run_id={run_id}")
+    stamp(rows).write.mode("overwrite").partitionBy("doc_type").parquet(f"{path}/run_id={run_id}/epoch=0")
 
 
 def write_responses(nested: DataFrame, path: str) -> None:
@@ -28,7 +29,7 @@ def write_ocr_results(results: DataFrame, path: str) -> None:
 
 
 def write_evaluation(spark: SparkSession, records: DataFrame, path: str) -> None:
-    """Evaluation results as JSON lines: per-document records, per-field metrics and micro metrics.
+    """Evaluation results as JSON lines: per-document records, per-field metrics, and micro metrics with the number of records.
 
     The metrics are counted from the stored records, so the texts are read and searched only once.
     """
@@ -36,4 +37,6 @@ def write_evaluation(spark: SparkSession, records: DataFrame, path: str) -> None
     stored = spark.read.schema(SAMPLE_RECORD).json(f"{path}/samples")
     counts = evaluate.count_outcomes(evaluate.pairs_of_records(stored))
     evaluate.report(counts).write.mode("overwrite").json(f"{path}/per_field")
-    evaluate.rounded(evaluate.micro_metrics(counts)).write.mode("overwrite").json(f"{path}/micro")
+    samples = evaluate.sample_count(stored).scalar().alias("n_samples")
+    micro = evaluate.rounded(evaluate.micro_metrics(counts)).select(samples, "*")
+    micro.write.mode("overwrite").json(f"{path}/micro")

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docfields import rules, schemas
+from docfields.operators.analytics import documents_by_type, errors_by_field
 from docfields.operators.extract import extract
 from docfields.operators.records import field_rows, stamp
 from docfields.operators.validate import check
 
+# Arguments of the trigger. This one takes what has arrived and stops; ``{"processingTime": "1 minute"}`` goes on.
+Trigger = dict[str, Any]
+BACKLOG: Trigger = {"availableNow": True}
+
 
 def document_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """Documents (doc_id, text) as their Parquet files arrive."""
@@ -20,49 +28,96 @@ def document_stream(spark: SparkSession, path: str, files_per_trigger: int | Non
     return reader.parquet(path)
 
 
-def extract_and_store(documents: DataFrame, path: str, checkpoint: str, run_id: str) -> StreamingQuery:
-    """Extract, check and append the field rows of everything that has arrived, then stop.
+def extract_and_store(
+    documents: DataFrame, path: str, checkpoint: str, run_id: str, trigger: Trigger = BACKLOG
+) -> StreamingQuery:
+    """Extract, check and append the field rows of everything that arrives to the stored table at ``path``.
 
-    Every step is a projection, so there is no state. The sink's commit log together with the checkpoint
-    makes the append exactly-once.
+    Every step is a projection, so there is no state. The rows of a micro-batch go to ``run_id=<run>/epoch=<n>``, which a repeated
+    epoch replaces, so each document is stored once and batch runs may share the table.
     """
+    def store(rows: DataFrame, epoch: int) -> None:
+        stamp(rows).write.mode("overwrite").partitionBy("doc_type").parquet(f"{path}/run_id={run_id}/epoch={epoch}")
+
     return (
-        stamp(field_rows(check(extract(documents)), run_id))
-        .writeStream.format("parquet").outputMode("append")
-        .partitionBy("doc_type")
+        field_rows(check(extract(documents)), run_id).writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start(path)
+        .trigger(**trigger)
+        .start()
     )
 
 
-def running_failures(
-    documents: DataFrame, path: str, checkpoint: str, run_id: str, limit: int = rules.TOP_FAILURES_LIMIT
-) -> StreamingQuery:
-    """Keep the failure ranking over all documents so far under ``path/epoch=<n>``.
+def _running(counts: DataFrame, path: str, checkpoint: str, trigger: Trigger, top: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+    """Keeps the newest two states of running counters under ``path``, each in a folder named by its epoch.
 
-    The state has one counter per field name, a fixed small number, and so needs no watermark. An epoch that
-    is repeated after a failure overwrites its own directory.
+    The state has one counter per name, a fixed small number, and so needs no watermark. A state is one small file.
+    An epoch that is repeated after a failure overwrites its own folder; a reader that still has the state before
+    the newest one open can finish.
     """
-    counts = (
-        field_rows(check(extract(documents)), run_id).filter(~F.col("valid"))
-        .groupBy(F.col("field_name").alias("field")).agg(F.count("*").alias("failures"))
-    )
-
-    def store(ranking: DataFrame, epoch: int) -> None:
-        top = ranking.orderBy(F.desc("failures"), "field").limit(limit)
-        top.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+    def store(state: DataFrame, epoch: int) -> None:
+        spark = state.sparkSession
+        top(state).coalesce(1).write.mode("overwrite").parquet(f"{path}/{_folder(epoch)}")
+        _remove(spark, path, [f"{path}/{_folder(epoch - 2)}"])
 
     return (
         counts.writeStream.outputMode("complete").foreachBatch(store)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
 
+def _folder(epoch: int) -> str:
+    return f"state-{epoch:012d}"
+
+
+def _remove(spark: SparkSession, path: str, folders: list[str]) -> None:
+    files = _file_system(spark, path)
+    for folder in folders:
+        files.delete(_hadoop_path(spark, folder), True)
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    return _hadoop_path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def running_failures(
+    documents: DataFrame, path: str, checkpoint: str, run_id: str, limit: int = rules.TOP_FAILURES_LIMIT,
+    trigger: Trigger = BACKLOG,
+) -> StreamingQuery:
+    """Keep the failure ranking over all documents so far."""
+    counts = (
+        field_rows(check(extract(documents)), run_id).filter(~F.col("valid"))
+        .groupBy(F.col("field_name").alias("field")).agg(F.count("*").alias("failures"))
+    )
+    return _running(counts, path, checkpoint, trigger, lambda state: state.orderBy(F.desc("failures"), "field").limit(limit))
+
+
+def running_documents_by_type(documents: DataFrame, path: str, checkpoint: str, trigger: Trigger = BACKLOG) -> StreamingQuery:
+    """Keep the number of documents of every type so far."""
+    return _running(documents_by_type(extract(documents)), path, checkpoint, trigger, lambda state: state)
+
+
+def running_errors_by_field(documents: DataFrame, path: str, checkpoint: str, trigger: Trigger = BACKLOG) -> StreamingQuery:
+    """Keep the number of errors per blamed field so far."""
+    return _running(errors_by_field(check(extract(documents))), path, checkpoint, trigger, lambda state: state)
+
+
+def latest_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The newest state of running counters; an empty table before the first one.
+
+    At most three folders are listed, and only the newest complete one is read.
+    """
+    files, at = _file_system(spark, path), _hadoop_path(spark, path)
+    folders = [entry.getPath().toString() for entry in files.listStatus(at)] if files.exists(at) else []
+    complete = sorted(f for f in folders if files.exists(_hadoop_path(spark, f"{f}/_SUCCESS")))
+    return spark.read.schema(schema).parquet(complete[-1]) if complete else spark.createDataFrame([], schema)
+
+
 def latest_ranking(spark: SparkSession, path: str) -> DataFrame:
-    """The ranking of the newest epoch (at most ``limit`` rows per epoch are stored)."""
-    epochs = spark.read.schema("field STRING, failures BIGINT, epoch BIGINT").parquet(path)
-    newest = epochs.agg(F.max("epoch").alias("epoch"))
-    return epochs.join(F.broadcast(newest), "epoch").select("field", "failures")
+    """The newest failure ranking."""
+    return latest_state(spark, path, "field STRING, failures BIGINT")

@@ -6,12 +6,13 @@ from collections import Counter
 import pytest
 
 import __spark_entry__ as registered
+from docfields.plans import oracle, queries
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
-QUERIES = registered.queries()
-ORACLE = registered.oracle_sql()
+QUERIES = queries.all_queries()
+ORACLE = oracle.all_statements()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
@@ -27,6 +28,7 @@ def duck():
 
 def test_every_query_has_a_statement():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(registered.queries()) and set(ORACLE) <= set(registered.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

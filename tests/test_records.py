@@ -81,8 +81,9 @@ def test_rankings(spark):
     assert [tuple(r) for r in analytics.low_accuracy_values(table, "c").collect()] == [("v", 2, 0.0)]
     assert analytics.low_accuracy_values(table).count() == 0
     names = {r.name: r.extracted for r in analytics.field_coverage(
-        table.withColumn("field_name", F.lit("tax_id")), readers.field_catalog(spark)).collect()}
+        table.withColumns({"field_name": F.lit("tax_id"), "doc_type": F.lit("x"), "request_id": F.col("value")}), readers.field_catalog(spark)).collect()}
     assert len(names) == len(rules.FIELD_CATALOG) and names["tax_id"] == 6 and names["vendor_name"] == 0
+    assert names["document_type"] == 2
 
 
 def test_counters(checked):

@@ -1,4 +1,5 @@
 import hashlib
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
@@ -64,10 +65,32 @@ def test_one_huge_document_among_small_ones(spark):
     words = huge.unionByName(_words(spark, [("small", 0, 0, "x", 1.0)])).repartition(7)
     texts = {r.doc_id: r.full_text for r in tokens.assemble_documents(words).collect()}
     assert texts == {"huge": " ".join(f"w{i}" for i in range(count)), "small": "x"}
-    records = tokens.ocr_results(words).filter("doc_id = 'huge'").orderBy("part").collect()
-    assert [r.part for r in records] == [0, 1, 2, 3]
-    assert max(len(r.tokens) for r in records) == tokens.PART_WORDS
-    assert [t.text for r in records for t in r.tokens] == [f"w{i}" for i in range(count)]
+    record = tokens.ocr_results(words).filter("doc_id = 'huge'").first()
+    assert [t.text for t in record.tokens] == [f"w{i}" for i in range(count)]
+    assert record.full_text == " ".join(f"w{i}" for i in range(count))
+    assert record.metadata.asDict() == {"avg_confidence": 0.5, "token_count": count}
+
+
+def test_a_long_page_is_one_record(spark):
+    words = _words(spark, [("a", 0, i, f"w{i}", float(i % 100)) for i in range(5000)])
+    records = tokens.ocr_results(words.repartition(5)).collect()
+    assert len(records) == 1 and len(records[0].tokens) == 5000
+    assert records[0].metadata.asDict() == {"avg_confidence": 0.495, "token_count": 5000}
+
+
+def test_pages_without_words_have_records(spark):
+    words = _words(spark, [("a", 1, 0, "x", 50.0), ("a", 3, 0, " ", 70.0)])
+    pages = spark.createDataFrame([("a", 0, "page0"), ("a", 1, "page1"), ("b", 0, "page0")],
+                                  "doc_id string, page_index int, page_name string")
+    found = {(r.doc_id, r.page_num): (len(r.tokens), r.full_text, r.metadata.avg_confidence) for r in tokens.ocr_results(words, pages).collect()}
+    assert found == {("a", 1): (0, "", 0.0), ("a", 2): (1, "x", 0.5), ("a", 3): (0, "", 0.0), ("b", 1): (0, "", 0.0)}
+
+
+def test_confidences_are_summed_exactly(spark):
+    values = [0.1, 0.2, 0.1234567890123456, 99.99999999999999]
+    words = _words(spark, [("a", 0, i, "x", v) for i, v in enumerate(values)])
+    mean = float(sum(map(Decimal, map(repr, values)))) / 4 / 100
+    assert tokens.page_statistics(words).first().avg_confidence == mean
 
 
 def test_fingerprint_uses_name_order(spark):
