@@ -98,15 +98,16 @@ class Parser:
             for state, transitions in enumerate(automaton):
                 for symbol, target in transitions.items():
                     self.table[offset + state, symbol] = offset + target
-        self.first = self.table[self.roots].T.copy()  # by symbol and language: the state after a phrase's first letter
-        self.first = np.where(self.first == 0, self.roots[None, :], self.first).astype(np.int32)
+        # By symbol and language: the state after a phrase's first letter. A letter that a language does not have is a phrase
+        # of its own and leads to the dead state, from which any letter begins a new phrase.
+        self.first = self.table[self.roots].T.copy()
         self.bits = np.log2([len(text) + 1 for text in model.texts])
 
     def _parse(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Phrases by block and language; blocks come in descending order of their length."""
         table, width, first = self.table.ravel(), self.width, self.first
-        state = np.repeat(self.roots[None, :].astype(np.int32), len(starts), axis=0)
-        phrases = np.ones(state.shape, dtype=np.int32)
+        state = np.zeros((len(starts), len(self.roots)), dtype=np.int32)
+        phrases = np.zeros(state.shape, dtype=np.int32)
         active = np.searchsorted(-lengths, -np.arange(lengths[0] if len(lengths) else 0), side="left")
         for place, k in enumerate(active):
             symbol = flat[starts[:k] + place]

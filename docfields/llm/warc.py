@@ -41,6 +41,7 @@ DICTIONARY_PAGES = 400
 DICTIONARY_CHARS = 8192
 DICTIONARY_BYTES = 65_536
 _CHUNK = 1 << 16
+_FIELD_NAME = re.compile(r"[!#$%&'*+.^_`|~0-9A-Za-z-]+")
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -87,7 +88,7 @@ def parse_record(data: bytes) -> Record:
     headers: dict[str, str] = {}
     for line in lines[1:]:
         name, colon, value = line.partition(":")
-        if not colon or not name or name != name.strip():
+        if not colon or not _FIELD_NAME.fullmatch(name):
             return Record(headers, b"", "malformed header")
         headers[name.lower()] = value.strip()
     missing = [n for n in ("warc-type", "warc-record-id", "warc-date", "content-length") if n not in headers]
