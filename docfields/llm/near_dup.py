@@ -7,11 +7,12 @@ than one arrival per shingle. Two texts agree in a register with the probability
 similarity ``J_P = sum_d 1 / sum_e max(a_e / a_d, b_e / b_d)``; for plain sets it is the Jaccard similarity.
 
 1. Texts with the same words are one class; only one representative of each goes on.
-2. Bands of registers are buckets. Every bucket has a centre, its smallest id, and each member is compared with it: as
-   many pairs as members, whatever the size of the bucket.
+2. Bands of registers are buckets. Every bucket has a centre, and each member is compared with it: as many pairs as
+   members, whatever the size of the bucket. The centre is the member with the most company over all its buckets;
+   a text of which the others are copies keeps the registers that most of them keep.
 3. Pairs are verified exactly on the whole texts.
 4. Members that differ from the centre stay for further rounds, until none is left: one new centre in the first of
-   them, twice as many in each next one. ``1 - J_P`` is a metric, so of the members already placed only those stay
+   them, ``GROWTH`` times as many in each next one. ``1 - J_P`` is a metric, so of the members already placed only those stay
    that the triangle inequality lets resemble one of them. No link that banding found a bucket for is lost.
 5. Connected components of the links give the class ids (alternating large and small stars).
 """
@@ -34,6 +35,8 @@ SIMILARITY = 0.8
 BANDS = 16
 ROWS = 4
 REGISTERS = BANDS * ROWS
+# So many times as many centres for a bucket in each further round.
+GROWTH = 4
 # Shingles that are processed together.
 BATCH_SHINGLES = 1_000_000
 _EPSILON = 1e-9
@@ -186,13 +189,18 @@ def verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     return map_arrow(both, _verify, f"member {kind}, centre {kind}, similarity double")
 
 
-def _first_round(buckets: DataFrame) -> DataFrame:
-    """Buckets with several members, their smallest member as the centre."""
-    return stored(
-        buckets.groupBy("bucket").agg(F.min("member").alias("centre"), F.max("member").alias("most"))
-        .filter(F.col("centre") != F.col("most")).drop("most"),
-        "centres",
-    )
+def _crowded(signed_representatives: DataFrame) -> DataFrame:
+    """bucket, member and degree of all members of buckets with several: the members of all buckets of a member."""
+    exploded = signed_representatives.select(F.col("doc_id").alias("member"), F.explode("bands").alias("bucket"))
+    crowds = stored(exploded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "crowds")
+    crowded = stored(exploded.join(crowds, "bucket"), "crowded")
+    degrees = stored(crowded.groupBy("member").agg(F.sum("size").alias("degree")), "degrees")
+    return stored(crowded.drop("size").join(degrees, "member"), "members")
+
+
+def _most_connected() -> Column:
+    """Of the members of a group, the one with the highest degree (of equals, the largest id)."""
+    return F.max(F.struct("degree", "member"))["member"].alias("centre")
 
 
 def _pairs(members: DataFrame, centres: DataFrame) -> DataFrame:
@@ -233,17 +241,17 @@ def _open(state: DataFrame) -> DataFrame:
 
 
 def _centres(state: DataFrame, number: int) -> DataFrame:
-    """The smallest unplaced member of each bucket, and about ``number`` more; which ones depends on the ids alone.
+    """The most connected unplaced member of each bucket, and about ``number`` more; which ones depends on the ids alone.
 
     A bucket with fewer unplaced members has them all as centres.
     """
-    unplaced = state.filter(~F.col("placed")).select("bucket", F.col("member").alias("centre"))
-    first = unplaced.groupBy("bucket").agg(F.min("centre").alias("smallest"), F.count("*").alias("unplaced"))
-    draw = F.pmod(F.xxhash64("centre", F.lit(number)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    unplaced = state.filter(~F.col("placed"))
+    first = unplaced.groupBy("bucket").agg(_most_connected().alias("first"), F.count("*").alias("unplaced"))
+    draw = F.pmod(F.xxhash64("member", F.lit(number)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     chosen = unplaced.join(stored(first, "unplaced"), "bucket").filter(
-        (F.col("centre") == F.col("smallest")) | (draw * F.col("unplaced") < number - 1)
+        (F.col("member") == F.col("first")) | (draw * F.col("unplaced") < number - 1)
     )
-    return stored(chosen.select("bucket", "centre"), "centres")
+    return stored(chosen.select("bucket", F.col("member").alias("centre")), "centres")
 
 
 def _after_round(state: DataFrame, centres: DataFrame, near: DataFrame) -> DataFrame:
@@ -267,27 +275,25 @@ def _after_round(state: DataFrame, centres: DataFrame, near: DataFrame) -> DataF
     after = state.join(marks, ["bucket", "member"], "left")
     now, done = F.coalesce("now", F.lit(False)), F.coalesce("done", F.lit(False))
     return after.filter(F.col("placed") | now | ~done).select(
-        "bucket", "member", "distance", (F.col("placed") | now).alias("placed")
+        "bucket", "member", "degree", "distance", (F.col("placed") | now).alias("placed")
     )
 
 
 def links(signed_representatives: DataFrame, documents: DataFrame) -> DataFrame:
     """All verified links between different texts that share a bucket, as far as components need them."""
-    exploded = signed_representatives.select(F.col("doc_id").alias("member"), F.explode("bands").alias("bucket"))
-    centres = _first_round(exploded)
-    results = stored(verified(_pairs(exploded, centres), documents), "verified")
+    members = _crowded(signed_representatives)
+    centres = stored(members.groupBy("bucket").agg(_most_connected()), "centres")
+    results = stored(verified(_pairs(members, centres), documents), "verified")
     found = [results.filter(F.col("similarity") >= SIMILARITY - _EPSILON).select("member", "centre")]
     far = results.filter(F.col("similarity") < SIMILARITY - _EPSILON)
     # Only buckets in which some member differs from its centre need another round.
-    apart = stored(
-        exploded.join(centres, "bucket").join(far, ["member", "centre"]).select("bucket").distinct(), "apart"
-    )
+    apart = stored(members.join(centres, "bucket").join(far, ["member", "centre"]).select("bucket").distinct(), "apart")
     if apart.isEmpty():
         return found[0]
-    centred = exploded.join(centres.join(apart, "bucket"), "bucket")
+    centred = members.join(stored(centres.join(apart, "bucket"), "apart-centres"), "bucket")
     state = _open(
         centred.join(results, ["member", "centre"], "left").select(
-            "bucket", "member",
+            "bucket", "member", "degree",
             F.when(F.col("member") == F.col("centre"), F.lit(0.0)).otherwise(1 - F.col("similarity")).alias("distance"),
         ).withColumn("placed", _within(F.col("distance")))
     )
@@ -298,7 +304,7 @@ def links(signed_representatives: DataFrame, documents: DataFrame) -> DataFrame:
         near = results.filter(F.col("similarity") >= SIMILARITY - _EPSILON).select("member", "centre")
         found.append(near)
         state = _open(_after_round(state, centres, near))
-        number *= 2
+        number *= GROWTH
     result = found[0]
     for more in found[1:]:
         result = result.union(more)
