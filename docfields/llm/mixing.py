@@ -61,7 +61,7 @@ def targets(
         sizes.select("source", "source_size", (F.col("source_size") * max_repeats).alias("limit"), weight.alias("weight"))
         .withColumn("level", level)
         .withColumn("level", F.when(F.col("level") <= F.col("limit") / F.col("weight"), F.col("level")))
-        # Of the levels that hold, the first in filling order is the largest budget left: all later ones equal or undercut it.
+        # The first source, in filling order, that does not fill up at the level that is left for it and the later ones.
         .withColumn("level", F.first("level", ignorenulls=True).over(
             filling.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
         .select(
@@ -111,17 +111,22 @@ def mix(documents: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: i
         .select("size", F.explode(passes).alias("finish"))
         .withColumn("slice", F.floor(F.least(F.col("finish"), F.lit(float(LAST_TIME))) * TIME_SLICES))
     )
-    time_slices = copies.groupBy("slice").agg(F.sum("size").alias("slice_size")).withColumn(
-        "before",
-        F.coalesce(F.sum("slice_size").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+    time_slices = stored(
+        copies.groupBy("slice").agg(F.sum("size").alias("slice_size")).withColumn(
+            "before",
+            F.coalesce(F.sum("slice_size").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        ).drop("slice_size"),
+        "mix-time",
     )
+    budget = slices.agg(F.sum("slice_size")).scalar()
+    # The cut lies in the last slice that begins below the budget; later slices need no order.
+    cut_slice = time_slices.filter(F.col("before") <= budget).agg(F.max("slice")).scalar()
     # Equal finish times are peers: their sum counts for each of them.
     running = F.sum("size").over(
         Window.partitionBy("slice").orderBy("finish").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    budget = slices.agg(F.sum("slice_size")).scalar()
     cut = (
-        copies.withColumn("running", running).join(time_slices.drop("slice_size"), "slice")
+        copies.filter(F.col("slice") <= cut_slice).withColumn("running", running).join(time_slices, "slice")
         .filter(F.col("before") + F.col("running") <= budget)
         .agg(F.max("finish"))
     )
