@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 
 from docfields.operators import analytics, evaluate, extract, records, tokens, validate
 from docfields.session import local_session
-from docfields.sources import corpora
+from docfields.sources import corpora, writers
+from docfields.streaming import jobs
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -65,10 +66,12 @@ def main() -> None:
             corpora.truth_table(corpus), extract.predictions(extract.extract(documents))
         ),
         "words_clean": tokens.clean_words(words),
-        "page_stats": tokens.assemble_pages(words).drop("page_text"),
+        "page_stats": tokens.page_statistics(words),
         "page_renumber": tokens.number_pages(words),
         "document_text": assembled,
-        "document_fingerprint": tokens.fingerprint(tokens.assemble_pages(words)),
+        "document_fingerprint": tokens.fingerprint_words(words),
+        "ocr_results": tokens.ocr_results(words),
+        "eval_records": evaluate.sample_records(validate.check(samples)),
         "extract_from_words": records.field_rows(over_words, RUN_ID),
         "corpus_invoices": corpora.invoices(
             spark.read.parquet(f"{FOLDER}/orders.parquet"), spark.read.parquet(f"{FOLDER}/lineitem.parquet")
@@ -76,6 +79,21 @@ def main() -> None:
     }
     for name, table in queries.items():
         timed(name, lambda table=table: table.write.format("noop").mode("overwrite").save())
+    def streamed() -> None:
+        stream = jobs.document_stream(spark, f"{scratch}/texts", 32)
+        jobs.extract_and_store(stream, f"{scratch}/stream", f"{scratch}/stream-log", RUN_ID).awaitTermination()
+
+    def counted_stream() -> None:
+        stream = jobs.document_stream(spark, f"{scratch}/texts", 32)
+        jobs.running_failures(stream, f"{scratch}/ranking", f"{scratch}/ranking-log", RUN_ID).awaitTermination()
+
+    documents.write.parquet(f"{scratch}/texts")
+    timed("write_responses", lambda: writers.write_responses(records.responses(checked, RUN_ID), f"{scratch}/responses"))
+    timed("write_ocr_results", lambda: writers.write_ocr_results(tokens.ocr_results(words), f"{scratch}/ocr"))
+    timed("write_evaluation", lambda: writers.write_evaluation(spark, evaluate.sample_records(validate.check(samples)), f"{scratch}/evaluation"))
+    timed("append_extractions", lambda: writers.append_extractions(rows, f"{scratch}/table", RUN_ID))
+    timed("stream_extract", streamed)
+    timed("stream_failures", counted_stream)
     counted = corpus.count()
     micro = evaluate.rounded(evaluate.micro_metrics(outcomes)).first().asDict()
     total = sum(value for name, value in seconds.items() if name != "render")

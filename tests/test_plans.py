@@ -62,9 +62,27 @@ def test_stored_rows_are_pruned(spark, documents, tmp_path):
     assert "ReadSchema: struct<field_name:string,valid:boolean>" in plan
 
 
-def test_document_assembly_moves_words_once_and_parts_once(spark, documents):
+def test_words_move_once_and_parts_once(spark, documents):
     words = corpora.words_of(documents)
-    assert _physical(tokens.assemble_documents(words)).count("Exchange ") == 2
+    for table in (tokens.assemble_documents(words), tokens.fingerprint_words(words), tokens.ocr_results(words)):
+        assert _physical(table).count("Exchange ") == 2
+        assert _physical(table).count("FileScan") == 1
+
+
+def test_page_numbers_need_two_exchanges(documents):
+    plan = _physical(tokens.number_pages(corpora.words_of(documents)))
+    assert plan.count("Exchange ") == 2 and "SortAggregate" not in plan
+
+
+def test_page_statistics_are_hashed(documents):
+    plan = _physical(tokens.page_statistics(corpora.words_of(documents)))
+    assert "SortAggregate" not in plan and plan.count("Exchange ") == 1
+
+
+def test_values_are_folded_by_document_before_the_join(documents):
+    extracted = extract.extract(documents)
+    plan = _optimized(evaluate.pair_tables(corpora.truth_table(documents), extract.predictions(extracted)))
+    assert plan.index("Join FullOuter") < plan.index("Aggregate [doc_id")
 
 
 def test_line_items_are_summed_before_the_join(spark, tmp_path):
