@@ -62,13 +62,14 @@ def _zeros(count: Column) -> Column:
 
 
 def _fraction(number: Column) -> Column:
-    return F.regexp_extract(number, r"\.([0-9]*)", 1)
+    return F.when(F.contains(number, F.lit(".")), F.substring_index(number, ".", -1)).otherwise(F.lit(""))
 
 
 def _scaled(number: Column, places: Column) -> Column:
     """Digits of a number without sign and point, with ``places`` of them behind the point."""
     fraction = _fraction(number)
-    return F.concat(F.regexp_extract(number, "^[+-]?([0-9]*)", 1), fraction, _zeros(places - F.length(fraction)))
+    whole = F.ltrim(F.substring_index(number, ".", 1), F.lit("+-"))
+    return F.concat(whole, fraction, _zeros(places - F.length(fraction)))
 
 
 def _to_integer(number: Column, digits: Column, dropped: Column) -> Column:
