@@ -36,7 +36,7 @@ BANDS = 16
 ROWS = 4
 REGISTERS = BANDS * ROWS
 # So many times as many centres for a bucket in each further round.
-GROWTH = 4
+GROWTH = 16
 # Shingles that are processed together.
 BATCH_SHINGLES = 1_000_000
 _EPSILON = 1e-9
@@ -264,13 +264,12 @@ def _after_round(state: DataFrame, centres: DataFrame, near: DataFrame) -> DataF
         state.join(centres, "bucket").join(near, ["member", "centre"]).select("bucket", "centre", "member", "placed"), "linked"
     )
     joining = linked.filter("placed").select("bucket", "centre").distinct()
-    joined = linked.join(stored(joining, "joining"), ["bucket", "centre"])
-    placed_now = joined.select("bucket", "member").union(joined.select("bucket", "centre")).distinct()
-    marks = stored(
+    joined = linked.join(joining, ["bucket", "centre"])
+    placed_now = joined.select("bucket", "member").union(joined.select("bucket", "centre"))
+    marks = (
         placed_now.withColumn("now", F.lit(True)).withColumn("done", F.lit(False))
         .union(centres.select("bucket", F.col("centre").alias("member"), F.lit(False), F.lit(True)))
-        .groupBy("bucket", "member").agg(F.max("now").alias("now"), F.max("done").alias("done")),
-        "marks",
+        .groupBy("bucket", "member").agg(F.max("now").alias("now"), F.max("done").alias("done"))
     )
     after = state.join(marks, ["bucket", "member"], "left")
     now, done = F.coalesce("now", F.lit(False)), F.coalesce("done", F.lit(False))
@@ -291,19 +290,20 @@ def links(signed_representatives: DataFrame, documents: DataFrame) -> DataFrame:
     if apart.isEmpty():
         return found[0]
     centred = members.join(stored(centres.join(apart, "bucket"), "apart-centres"), "bucket")
-    state = _open(
+    state = _open(stored(
         centred.join(results, ["member", "centre"], "left").select(
             "bucket", "member", "degree",
             F.when(F.col("member") == F.col("centre"), F.lit(0.0)).otherwise(1 - F.col("similarity")).alias("distance"),
-        ).withColumn("placed", _within(F.col("distance")))
-    )
+        ).withColumn("placed", _within(F.col("distance"))),
+        "after",
+    ))
     number = 1
     while not state.isEmpty():
         centres = _centres(state, number)
         results = stored(verified(_pairs(state, centres), documents), "verified")
         near = results.filter(F.col("similarity") >= SIMILARITY - _EPSILON).select("member", "centre")
         found.append(near)
-        state = _open(_after_round(state, centres, near))
+        state = _open(stored(_after_round(state, centres, near), "after"))
         number *= GROWTH
     result = found[0]
     for more in found[1:]:
