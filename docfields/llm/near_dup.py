@@ -13,7 +13,8 @@ similarity ``J_P = sum_d 1 / sum_e max(a_e / a_d, b_e / b_d)``; for plain sets i
 3. Pairs are verified exactly on the whole texts.
 4. Members that differ from the centre stay for further rounds, until none is left: one new centre in the first of
    them, ``GROWTH`` times as many in each next one. ``1 - J_P`` is a metric, so of the members already placed only those stay
-   that the triangle inequality lets resemble one of them. No link that banding found a bucket for is lost.
+   that the triangle inequality lets resemble one of them. A member that links in other buckets have joined to the
+   centre's group counts as placed. No link that banding found a bucket for is lost to the groups.
 5. Connected components of the links give the class ids (alternating large and small stars).
 """
 
@@ -278,37 +279,43 @@ def _after_round(state: DataFrame, centres: DataFrame, near: DataFrame) -> DataF
     )
 
 
-def links(signed_representatives: DataFrame, documents: DataFrame) -> DataFrame:
-    """All verified links between different texts that share a bucket, as far as components need them."""
+def groups_of(signed_representatives: DataFrame, documents: DataFrame) -> DataFrame:
+    """node and component of every text that is linked to a different one (ids of representatives)."""
+    def near(results: DataFrame) -> DataFrame:
+        return results.filter(F.col("similarity") >= SIMILARITY - _EPSILON).select("member", "centre")
+
     members = _crowded(signed_representatives)
     centres = stored(members.groupBy("bucket").agg(_most_connected()), "centres")
     results = stored(verified(_pairs(members, centres), documents), "verified")
-    found = [results.filter(F.col("similarity") >= SIMILARITY - _EPSILON).select("member", "centre")]
+    groups = stored(components(near(results)), "groups")
     far = results.filter(F.col("similarity") < SIMILARITY - _EPSILON)
     # Only buckets in which some member differs from its centre need another round.
     apart = stored(members.join(centres, "bucket").join(far, ["member", "centre"]).select("bucket").distinct(), "apart")
-    if apart.isEmpty():
-        return found[0]
-    centred = members.join(stored(centres.join(apart, "bucket"), "apart-centres"), "bucket")
+    group_of_centre = groups.select(F.col("node").alias("centre"), F.col("component").alias("centre_group"))
+    centred = stored(centres.join(apart, "bucket").join(group_of_centre, "centre", "left"), "apart-centres")
+    group_of_member = groups.select(F.col("node").alias("member"), F.col("component").alias("member_group"))
+    distance = F.when(F.col("member") == F.col("centre"), F.lit(0.0)).otherwise(1 - F.col("similarity"))
+    # What links elsewhere have joined to the centre's group has nothing more to find out about it.
+    joined = F.coalesce(F.col("member_group") == F.col("centre_group"), F.lit(False))
     state = _open(stored(
-        centred.join(results, ["member", "centre"], "left").select(
-            "bucket", "member", "degree",
-            F.when(F.col("member") == F.col("centre"), F.lit(0.0)).otherwise(1 - F.col("similarity")).alias("distance"),
-        ).withColumn("placed", _within(F.col("distance"))),
+        members.join(centred, "bucket").join(results, ["member", "centre"], "left").join(group_of_member, "member", "left")
+        .select("bucket", "member", "degree", distance.alias("distance"), joined.alias("joined"))
+        .select("bucket", "member", "degree", "distance", (_within(F.col("distance")) | F.col("joined")).alias("placed")),
         "after",
     ))
+    found: list[DataFrame] = []
     number = 1
     while not state.isEmpty():
         centres = _centres(state, number)
-        results = stored(verified(_pairs(state, centres), documents), "verified")
-        near = results.filter(F.col("similarity") >= SIMILARITY - _EPSILON).select("member", "centre")
-        found.append(near)
-        state = _open(stored(_after_round(state, centres, near), "after"))
+        found.append(near(stored(verified(_pairs(state, centres), documents), "verified")))
+        state = _open(stored(_after_round(state, centres, found[-1]), "after"))
         number *= GROWTH
-    result = found[0]
-    for more in found[1:]:
-        result = result.union(more)
-    return result
+    if not any(not more.isEmpty() for more in found):
+        return groups
+    edges = groups.filter(F.col("node") != F.col("component")).toDF("member", "centre")
+    for more in found:
+        edges = edges.union(more)
+    return components(edges)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -355,7 +362,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         .select("doc_id", "bands").distinct(),
         "representatives",
     )
-    groups = components(links(representatives, documents))
+    groups = groups_of(representatives, documents)
     named = stored(
         classes.join(groups, F.col("first_id") == F.col("node"), "left")
         .select(F.col("digest").alias("class_digest"), F.coalesce("component", "first_id").alias("class_id")),
