@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docfields.llm.common import map_arrow, stored
+from docfields.llm.common import map_arrow, share, stored
 from docfields.session import fresh_path
 
 VERSION = "WARC/1.1"
@@ -36,7 +36,7 @@ ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
 LEAST_PAYLOAD = 0
 # An archive is closed once its frames have so many bytes.
 ARCHIVE_BYTES = 16 << 20
-# The dictionary: pages to learn from, characters of each, and its size.
+# The dictionary: pages to learn from (expected number), characters of each, and its size.
 DICTIONARY_PAGES = 400
 DICTIONARY_CHARS = 8192
 DICTIONARY_BYTES = 65_536
@@ -204,16 +204,25 @@ def with_types(pages: DataFrame, least_payload: int = LEAST_PAYLOAD) -> DataFram
     )
 
 
+def learned_dictionary(pages: DataFrame) -> bytes:
+    """A dictionary from about ``DICTIONARY_PAGES`` pages, chosen by their ids, so that few rows come from each task.
+
+    Empty if there are no pages with an id and a content.
+    """
+    fraction = min(1.0, DICTIONARY_PAGES / max(1, pages.count()))
+    chosen = pages.filter(F.col("page_id").isNotNull() & (share(F.col("page_id"), "archive") < fraction))
+    rows = chosen.select("page_id", F.substring(F.coalesce(F.col("html"), F.lit("")), 1, DICTIONARY_CHARS).alias("html")).collect()
+    samples = [r["html"].encode("utf-8", "surrogatepass") for r in sorted(rows) if r["html"]]
+    return make_dictionary(samples) if samples else b""
+
+
 def write_archives(pages: DataFrame, folder: str, least_payload: int = LEAST_PAYLOAD) -> int:
     """Writes one record per row of ``pages`` (page_id, url, html; other columns are not read); returns their number.
 
     A null html is an empty payload. Of rows with equal payloads the smallest page_id is the response; rows that repeat
     that id are responses as well. Without rows no archive is written.
     """
-    samples = pages.select("page_id", F.substring(F.coalesce(F.col("html"), F.lit("")), 1, DICTIONARY_CHARS).alias("html"))
-    rows = samples.orderBy("page_id", "html").limit(DICTIONARY_PAGES).collect()
-    dictionary = make_dictionary([r["html"].encode("utf-8", "surrogatepass") for r in rows if r["html"]])
-    shared = pages.sparkSession.sparkContext.broadcast(dictionary)
+    shared = pages.sparkSession.sparkContext.broadcast(learned_dictionary(pages))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
