@@ -37,10 +37,11 @@ MODEL_CLASSES = 200_000
 STEMS = (3, 4, 5, 6)
 PRIOR = 10.0
 DRIFT = 2.0
-# Classes of fewer documents, or whose toxic documents lie within so many standard deviations of the overall rate, follow
-# the class above.
-MIN_DEVIATIONS = 5.0
+# Classes of fewer documents, or whose number of toxic documents chance explains, follow the class above. The test adapts to
+# the documents and the toxic share: of all classes tested, about so many may pass by chance, and each with this chance at most.
 MIN_DOCUMENTS = 4
+CHANCE_CLASSES = 10
+MAX_CHANCE = 0.05
 MEMO_WORDS = 500_000
 SIGNIFICANT = 0.05
 
@@ -178,6 +179,15 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
+def surprise(documents: Column, toxic: Column, base: float) -> Column:
+    """Minus the logarithm of the chance of so many toxic documents, or so few, at the overall rate (Chernoff's bound of the
+    binomial tail, exact where all documents are toxic)."""
+    def part(count: Column, rate: float) -> Column:
+        return F.when(count > 0, count * F.log(count / (documents * rate))).otherwise(F.lit(0.0))
+
+    return part(toxic, base) + part(documents - toxic, 1 - base)
+
+
 def _smoothed(counts: dict[str, tuple[int, int]], base: float) -> dict[str, float]:
     """Toxic rate of every class, with the class above as the prior's mean."""
     rates: dict[str, float] = {}
@@ -256,13 +266,16 @@ def learn(documents: DataFrame, labels: DataFrame, learn_from: Column) -> Model:
     empty = Model({}, -DRIFT, 1.0, 1.0, -40.0 if not n else math.log(base / (1 - base)), 0.0)
     if not 0 < n_toxic < n:
         return empty
-    expected = F.col("documents") * base
-    spread = F.abs(F.col("toxic") - expected) / F.sqrt(expected * (1 - base))
-    rows = (
+    tested = stored(
         map_arrow(sample, _count_batches, "class string, documents long, toxic long")
         .groupBy("class").agg(F.sum("documents").alias("documents"), F.sum("toxic").alias("toxic"))
-        .filter((F.col("documents") >= MIN_DOCUMENTS) & (spread >= MIN_DEVIATIONS))
-        .orderBy(spread.desc(), "class").limit(MODEL_CLASSES).collect()
+        .filter(F.col("documents") >= MIN_DOCUMENTS),
+        "toxicity-classes",
+    )
+    chance = min(MAX_CHANCE, CHANCE_CLASSES / max(1, tested.count()))
+    unlikely = surprise(F.col("documents"), F.col("toxic"), base)
+    rows = (
+        tested.filter(unlikely >= -math.log(chance)).orderBy(unlikely.desc(), "class").limit(MODEL_CLASSES).collect()
     )
     rates = _smoothed({r["class"]: (r["documents"], r["toxic"]) for r in rows}, base)
     offset = math.log(base / (1 - base))

@@ -34,6 +34,10 @@ def test_toxicity_drops_whole_rows(steps):
     assert kept <= documents and len(kept) > 0.8 * len(documents)
 
 
+def test_few_labels_still_drop_toxic_documents(steps):
+    assert steps[1].count() < steps[0].count()
+
+
 def test_lines_of_sites(steps):
     expected = {r.doc_id: r.cleaned.text for r in line_dedup.drop_boilerplate(steps[1], F.col("source")).collect()}
     assert {r.doc_id: r.text for r in steps[2].collect()} == expected

@@ -99,3 +99,17 @@ def test_odd_rows(spark, odd, clashing, nothing, model):
     assert {r.predicted for r in toxicity.toxicity(odd, empty).collect()} == {0}
     one_kind = spark.createDataFrame([(6, 0), (7, 0), (7, None), (None, 1)], "doc_id long, toxic long")
     assert {r.predicted for r in toxicity.toxicity(odd, toxicity.learn(odd, one_kind, F.lit(True))).collect()} == {0}
+
+
+@pytest.mark.parametrize("every, count", [(7, 70), (2, 40)])
+def test_few_labels_and_balanced_ones_tell_toxic_documents(spark, every, count):
+    rows = [(i, prose(i, 40) + (" vileword vileword nasty" if i % every == 0 else ""), int(i % every == 0)) for i in range(count)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.learn(table.select("doc_id", "text"), table.select("doc_id", "toxic"), F.lit(True))
+    new = spark.createDataFrame([(0, prose(900, 40) + " vileword vileword nasty"), (1, prose(901, 40))], "doc_id long, text string")
+    assert [r.predicted for r in toxicity.toxicity(new, model).orderBy("doc_id").collect()] == [1, 0]
+
+
+def test_chance_of_a_class_is_the_binomial_tail(spark):
+    found = spark.range(1).select(*[toxicity.surprise(F.lit(n), F.lit(k), b) for n, k, b in ((4, 4, 0.25), (9, 0, 0.5), (10, 2, 0.2))]).first()
+    assert list(found) == pytest.approx([4 * np.log(4), 9 * np.log(2), 0.0])
