@@ -26,11 +26,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that are boilerplate of their source; n_chars follows the text."""
+    """All documents, without the lines that are boilerplate of their source; n_chars follows the text.
+
+    Copies of a text count once, or the lines of a text with many copies would all go, in every copy.
+    """
     into = "cleaned"
     while into in docs.columns:
         into += "_"
-    cleaned = line_dedup.drop_boilerplate(docs, F.col("source"), into=into)
+    cleaned = line_dedup.drop_boilerplate(docs, F.col("source"), into=into, copies_once=True)
     changed = F.col(f"{into}.n_dropped") > 0
     new = {
         "text": F.col(f"{into}.text"),

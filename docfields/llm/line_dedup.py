@@ -35,8 +35,16 @@ def host(url: Column) -> Column:
     return F.lower(F.nullif(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """One row per site with boilerplate: site, drops (digests). ``pages`` has the columns site and text."""
+def boilerplate(
+    pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False
+) -> DataFrame:
+    """One row per site with boilerplate: site, drops (digests). ``pages`` has the columns site and text.
+
+    ``copies_once`` counts pages of a site with the same text as one page. Copies meet on the map side as digests of
+    their lines, so a hot text is one row a task.
+    """
+    if copies_once:
+        return _boilerplate_of_texts(pages, ratio, min_pages)
     totals = pages.groupBy("site").agg(F.count("*").alias("pages_of_site")).withColumnRenamed("site", "total_site")
     distinct = F.array_distinct(F.filter(lines(F.col("text")), lambda line: ~_is_blank(line)))
     counted = (
@@ -44,6 +52,22 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
         .groupBy("site", "line").agg(F.count("*").alias("pages_with_line"))
         .filter(F.col("pages_with_line") >= min_pages)
     )
+    return _frequent(counted, totals, ratio)
+
+
+def _boilerplate_of_texts(pages: DataFrame, ratio: float, min_pages: int) -> DataFrame:
+    distinct = F.array_distinct(F.filter(lines(F.col("text")), lambda line: ~_is_blank(line)))
+    texts = pages.select("site", _digest(F.col("text")).alias("page"), F.transform(distinct, _digest).alias("lines"))
+    totals = texts.select("site", "page").distinct().groupBy("site").agg(F.count("*").alias("pages_of_site"))
+    counted = (
+        texts.dropDuplicates(["site", "page"]).select("site", F.explode("lines").alias("line"))
+        .groupBy("site", "line").agg(F.count("*").alias("pages_with_line"))
+        .filter(F.col("pages_with_line") >= min_pages)
+    )
+    return _frequent(counted, totals.withColumnRenamed("site", "total_site"), ratio)
+
+
+def _frequent(counted: DataFrame, totals: DataFrame, ratio: float) -> DataFrame:
     return (
         counted.join(totals, F.col("site").eqNullSafe(F.col("total_site")))
         .filter(F.col("pages_with_line") > ratio * F.col("pages_of_site"))
@@ -53,19 +77,20 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
 
 def drop_boilerplate(
     documents: DataFrame, site: Column, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES,
-    into: str = "cleaned",
+    into: str = "cleaned", copies_once: bool = False,
 ) -> DataFrame:
     """All rows and columns of ``documents`` plus a last column named by ``into``: struct(text, n_lines, n_dropped).
 
     ``site`` is an expression over the columns of ``documents``; rows with a null site form one site. Blank lines
     stay. A null text counts as a page without lines and stays null; a text may become empty. Repeated rows are
-    pages of their own. Without rows the result is empty. No input column but one named like ``into`` is in the way.
+    pages of their own, unless ``copies_once`` counts each text of a site once: then copies alone make no line
+    boilerplate. Without rows the result is empty. No input column but one named like ``into`` is in the way.
     """
     columns = [F.col(f"`{c}`") for c in documents.columns]
     packed = documents.select(
         F.struct(*columns).alias("packed"), site.cast("string").alias("site"), F.col(f"`{text}`").alias("text")
     )
-    found = stored(boilerplate(packed.select("site", "text"), ratio, min_pages), "boilerplate")
+    found = stored(boilerplate(packed.select("site", "text"), ratio, min_pages, copies_once), "boilerplate")
     split = packed.join(
         found.withColumnRenamed("site", "dropping_site"), F.col("site").eqNullSafe(F.col("dropping_site")), "left"
     ).select("packed", "text", "drops", lines(F.col("text")).alias("all_lines"))

@@ -49,3 +49,14 @@ def test_odd_rows(odd, clashing, nothing):
 def test_the_plan_is_free_of_python(odd):
     plan = line_dedup.drop_boilerplate(odd, F.col("source"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_copies_count_once_on_request(spark):
+    copied = prose(1, 9) + "\n" + prose(2, 9)
+    rows = [(i, "a", copied) for i in range(20)] + [(i, "a", f"menu home\n{prose(i, 9)}") for i in range(20, 28)] + [(28, "a", None)] * 2
+    table = spark.createDataFrame(rows, "doc_id long, site string, text string")
+    found = line_dedup.drop_boilerplate(table, F.col("site"), ratio=0.5, copies_once=True).collect()
+    assert len(found) == len(rows)
+    for row in found:
+        expected = row.text.removeprefix("menu home\n") if row.text else None
+        assert row.cleaned.text == expected

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from docfields.llm import line_dedup, packing
 from docfields.llm.common import stored
-from tests_llm_help import rows_of
+from tests_llm_help import SCHEMA, prose, rows_of
 from test_near_dup import brute_classes
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -69,6 +69,15 @@ def test_run_equals_the_stages(spark, steps):
     assert rows_of(corpus_pipeline.run(spark, FOLDER)) == rows_of(steps[5])
 
 
+def test_a_text_with_many_copies_stays_once(spark):
+    texts = [prose(1, 60) + "\n" + prose(2, 60)] * 30 + [f"menu home\n{prose(i, 60)}" for i in range(30, 60)]
+    table = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    cleaned = stored(corpus_pipeline.drop_boilerplate_lines(spark, table, FOLDER), "test-copies")
+    kept = corpus_pipeline.keep_one_of_each(spark, cleaned, FOLDER).collect()
+    assert [r.doc_id for r in kept if r.text == texts[0]] == [0] and len(kept) == 31
+    assert not any("menu home" in r.text or not r.text for r in kept)
+
+
 def test_stages_take_odd_tables(spark, clashing, nothing):
     for table in (clashing, nothing):
         for name, stage in corpus_pipeline.STAGES:
