@@ -33,8 +33,17 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 # One of these stands in every assignment and every sensitive word, in lower case; a text without any needs no search.
 ASSIGN_HINTS = ("passw", "secret", "token", "api")
 SENSITIVE_HINTS = ("passw", "secret", "token", "key", "auth", "credential", "bearer", "private", "pwd")
-SENSITIVE = re.compile(r"(?<![a-z])(?:passw|secret|token|api_?key|key|auth|credential|bearer|private|pwd)", re.IGNORECASE | re.ASCII)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+# A sensitive word starts behind anything but a letter, or with the capital of a camel-case part.
+SENSITIVE = re.compile(
+    r"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z]))"
+    r"(?i:passw|secret|token|api_?key|key|auth|credential|bearer|private|pwd)",
+    re.ASCII,
+)
+# Equal signs belong to a candidate as its padding only; elsewhere they part a name from its value.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
+# The rest of the word itself up to a hyphen or underscore, and the sign that makes what stands before it a name.
+REST = re.compile(r"[A-Za-z]*[_-]+")
+NAMES = re.compile(r"""["']?\x20*[:=]""")
 
 # How far behind a sensitive word a candidate may begin, how much text on either side primes the compressor, and the
 # compressed bytes per character from which a candidate counts as incompressible (random hex digits take about 0.55).
@@ -112,12 +121,18 @@ def novel_spans(text: str, lowered: str, known: list[Span]) -> list[Span]:
         if word.end() + REACH <= after:
             continue
         for m in CANDIDATE.finditer(text, max(word.end(), after)):
-            if m.start() > word.end() + REACH:
+            start, end = m.span()
+            if start > word.end() + REACH:
                 break
-            # The rest of an identifier that holds the sensitive word itself is no value.
-            if m.start() > word.end() and is_mixed(m.group()):
-                found[m.start()] = m.end()
-            after = m.end()
+            after = end
+            if start == word.end():
+                # The rest of an identifier that holds the sensitive word itself; its last part may be a value.
+                rest = REST.match(text, start, end)
+                if not rest or NAMES.match(text, end) or not CANDIDATE.fullmatch(text, rest.end(), end):
+                    continue
+                start = rest.end()
+            if is_mixed(text[start:end]):
+                found[start] = end
     taken = sorted((s.start, s.end) for s in known)
     result, at, reach = [], 0, 0
     for start, end in sorted(found.items()):

@@ -69,3 +69,15 @@ def test_odd_rows(odd, clashing, nothing):
     assert rows_of(secrets.find_secrets(odd)) == rows_of(secrets.find_secrets(clashing))
     assert secrets.find_secrets(odd).count() == len(ODD_ROWS)
     assert secrets.find_secrets(nothing).count() == 0
+
+
+def test_values_right_behind_their_names_are_reported():
+    for name in (
+        "auth=", "auth:", "pwd=", "private_key=", "secret_key=", "SIGNING_KEY=", "key: ", "accessKey=", "accessKey: ", '"accessKey":"',
+        "AWSSecretKey=", "https://www.example.com/?auth=", "key_of_the_production_environment=", "auth-", "auth_",
+    ):
+        for value in (KEY, KEY + "=="):
+            text = f"{name}{value}"
+            assert secrets.listed(secrets.scan(text)[1]) == f"novel:{len(name)}:{len(text)}", text
+    for harmless in (f"monkey={KEY}", f"MONKEY={KEY}", "auth=0000000000000000", "key_of_the_production_environment=development"):
+        assert secrets.scan(harmless)[1] == [], harmless
