@@ -4,12 +4,15 @@ The base patterns find assignments of passwords and tokens, access keys and long
 further strings in a sensitive context: long tokens shortly after a word such as ``secret`` or ``auth``. For each it
 measures the marginal compressed size: the bytes that the string adds to its surroundings when zstandard is primed
 with a dictionary of common identifiers and the surrounding text. Names, paths and repeated strings add few bytes;
-random keys cannot be compressed, and strings that add more than a share of their length are reported.
+random keys cannot be compressed, and strings that add more than a share of their length are reported, whatever
+characters they mix. Candidates are runs of at least 16 letters, digits and ``+/_-``: shorter or punctuated values are
+left to the base patterns. A run of words that the dictionary lacks adds as much as a key, and is reported too.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -46,10 +49,15 @@ REST = re.compile(r"[A-Za-z]*[_-]+")
 NAMES = re.compile(r"""["']?\x20*[:=]""")
 
 # How far behind a sensitive word a candidate may begin, how much text on either side primes the compressor, and the
-# compressed bytes per character from which a candidate counts as incompressible (random hex digits take about 0.55).
+# compressed bytes per character from which a candidate counts as incompressible (random hex digits take about 0.55). Of
+# a candidate of few different characters, as of digits alone, this share of what random ones must take is enough.
 REACH = 64
 SURROUNDINGS = 512
 NOVELTY = 0.5
+NOVELTY_SHARE, NOVELTY_LEAST = 0.9, 0.3
+# Short random strings are stored byte by byte, whatever their characters, so that short names are told apart with more to spare.
+SHORT = 40
+SHORT_NOVELTY = 0.7
 # A candidate longer than this is measured in pieces, so that its price stays in proportion.
 MEASURED = 4096
 
@@ -68,6 +76,43 @@ IDENTIFIERS = (
     "author_information authority token_type tokenizer secretary keyword_arguments private_network_address"
 )
 
+# Longer words of prose, code and paths; the dictionary has them in lower case, capitalised and in upper case.
+WORDS = (
+    "about above access account action active address administrator advanced after algorithm allocation already always amount analysis "
+    "another application archive argument article assets attachment attribute available average background backup balance "
+    "because before behavior between billing binary branch browser buffer builder bundle business button calculate callback "
+    "campaign catalog category center certificates change channel character characteristic check client cluster collection "
+    "command comment common communication community company compatible complete component computer condition config "
+    "connect connection constant consumer container content context continue control controller convert cookie counter country create "
+    "credentials currency current customer dashboard datasource default delete delivery deploy description design "
+    "destination detail developer device dialog different digital directory disable discount display distribution document "
+    "documentation domain download duplicate dynamic editor education element email employee enable encoding encryption "
+    "endpoint engine enterprise entity error event example exception execute experience experiment expire export expression "
+    "external factory failure feature feedback field file filter financial folder format found foundation framework frontend "
+    "gateway general generate getting global government group handle handler header health helper history hosting identity "
+    "image implementation important include index industry information infrastructure initialize input install installation "
+    "instance instruction insurance integration interaction internal international internet invalid inventory invoice item "
+    "javascript journal keyboard kubernetes language layout legacy level library license listener loader location logging "
+    "login machine maintenance manage management manager manifest manual mapping market marketing material maximum "
+    "measurement member memory message metadata method metrics middleware migration minimum missing mobile model module "
+    "monitor navigation network nginx notification number object office online openssl operation operator option "
+    "order organization original other output package packages page parameter parent parser partner password path pattern "
+    "payment performance permission personal physical picture pipeline platform plugin policy popular position possible "
+    "preference present previous primary priority process processor product profile program progress project projects property "
+    "protocol provider proxy public publish purchase python quality quantity query question random reader reason receive "
+    "recommendation record redirect reference register registration relationship release remote remove render report "
+    "repository require research reservation resolver resource response responsibility result return review router runner "
+    "runtime sample schedule scheduler schema science screen script search section security select sender sequence serializer "
+    "server service setting settings shared shipping shopping should signature simple single site software solution source "
+    "special standard start state statement static station statistics status storage store strategy stream structure student "
+    "subject submit subscription success summary support switch system target technology template temporary terminal test "
+    "text theme thread through timeout tracking training transaction transfer translation transport trigger understanding "
+    "university update upgrade upload usage user utility validate validation value variable vendor version video view virtual "
+    "volume warehouse warning website widget window without worker workflow workspace wrapper write "
+    "/usr/local/share/ /usr/bin/ /var/log/ /etc/ssl/certs/ /home/ /opt/ /src/main/java/com/ /src/test/ /node_modules/ /lib/python3/site-packages/"
+)
+DICTIONARY = " ".join((WORDS.upper(), WORDS.title().replace(" ", ""), WORDS, IDENTIFIERS)).encode() + b" "
+
 
 class Span(NamedTuple):
     """Start and end in code points, end exclusive."""
@@ -88,14 +133,8 @@ def base_spans(text: str, lowered: str) -> list[Span]:
     return found
 
 
-def is_mixed(candidate: str) -> bool:
-    """Generated strings mix digits with letters, or change from lower to upper case again and again; words do neither."""
-    has_digit, has_letter = re.search("[0-9]", candidate), re.search("[A-Za-z]", candidate)
-    return bool(has_digit and has_letter) or len(re.findall("[a-z][A-Z]", candidate)) >= 4
-
-
 def _compressed(context: bytes, content: bytes) -> int:
-    primer = zstandard.ZstdCompressionDict(IDENTIFIERS.encode() + b" " + context, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    primer = zstandard.ZstdCompressionDict(DICTIONARY + context, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     return len(zstandard.ZstdCompressor(level=6, dict_data=primer, write_content_size=False).compress(content))
 
 
@@ -111,6 +150,13 @@ def novelty(text: str, start: int, end: int) -> float:
     return total / (end - start)
 
 
+def incompressible(text: str, start: int, end: int) -> bool:
+    """Whether ``text[start:end]`` adds more than its share; random characters of k kinds take log2(k) bits each."""
+    share = NOVELTY_SHARE * math.log2(len(set(text[start:end]))) / 8
+    least = SHORT_NOVELTY if end - start <= SHORT else min(NOVELTY, max(NOVELTY_LEAST, share))
+    return novelty(text, start, end) >= least
+
+
 def novel_spans(text: str, lowered: str, known: list[Span]) -> list[Span]:
     """Incompressible candidates in sensitive context that overlap no known span."""
     if not any(hint in lowered for hint in SENSITIVE_HINTS):
@@ -131,15 +177,14 @@ def novel_spans(text: str, lowered: str, known: list[Span]) -> list[Span]:
                 if not rest or NAMES.match(text, end) or not CANDIDATE.fullmatch(text, rest.end(), end):
                     continue
                 start = rest.end()
-            if is_mixed(text[start:end]):
-                found[start] = end
+            found[start] = end
     taken = sorted((s.start, s.end) for s in known)
     result, at, reach = [], 0, 0
     for start, end in sorted(found.items()):
         while at < len(taken) and taken[at][0] < end:
             reach = max(reach, taken[at][1])
             at += 1
-        if reach <= start and novelty(text, start, end) >= NOVELTY:
+        if reach <= start and incompressible(text, start, end):
             result.append(Span(start, "novel", end))
     return result
 

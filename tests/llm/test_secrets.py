@@ -81,3 +81,23 @@ def test_values_right_behind_their_names_are_reported():
             assert secrets.listed(secrets.scan(text)[1]) == f"novel:{len(name)}:{len(text)}", text
     for harmless in (f"monkey={KEY}", f"MONKEY={KEY}", "auth=0000000000000000", "key_of_the_production_environment=development"):
         assert secrets.scan(harmless)[1] == [], harmless
+
+
+def test_incompressible_strings_of_few_kinds_of_characters_are_reported():
+    chooser = random.Random(3)
+    for letters in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmNOPQRSTUVWXYZ"):
+        for size in (16, 24, 40, 64, 100, 400, 3000, 10_000):
+            for _ in range(10):
+                value = "".join(chooser.choice(letters) for _ in range(size))
+                text = f"The authorization value we use is {value} for now."
+                found = [s for s in secrets.scan(text)[1] if s.kind == "novel"]
+                covered = [s for s in secrets.scan(text)[0]]
+                assert covered or [(s.start, s.end) for s in found] == [(34, 34 + size)], value
+
+
+def test_words_and_paths_in_sensitive_context_are_not_reported():
+    for harmless in (
+        "calculateAverageBalance", "customer-notification-service", "/usr/local/share/documentation",
+        "src/main/java/com/company/InvoiceService", "responsibilities", "1234567890123456", "internationalization", "01" * 30 + "x",
+    ):
+        assert not [s for s in secrets.scan(f"The private value is {harmless} here.")[1] if s.kind == "novel"], harmless
