@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfields.llm import language, line_dedup, merkle, mixing, near_dup, packing, quality, secrets, toxicity, warc
+from docfields.llm import language, line_dedup, manifest, merkle, mixing, near_dup, packing, quality, secrets, toxicity, warc
 from docfields.llm.common import fold, table
 
 TOXIC_FOLDS = 5
@@ -72,6 +72,11 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(documents, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    tree = manifest.manifest(table(spark, folder, "documents"))
+    return tree.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified", "lang")
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,6 +86,6 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_best_fit_packing, op2_minhash_near_dedup, op3_secret_scan, op4_quality_rules, op5_document_fingerprints,
-        op6_mix_sources, op7_warc_archives, op8_line_dedup, op9_toxicity, op10_language_id, pipeline,
+        op6_mix_sources, op7_warc_archives, op8_line_dedup, op9_toxicity, op10_language_id, op11_merkle_manifest, pipeline,
     )
     return {query.__name__: query for query in found}
