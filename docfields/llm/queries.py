@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfields.llm import language, line_dedup, manifest, merkle, mixing, near_dup, packing, quality, secrets, toxicity, warc
+from docfields.llm import language, line_dedup, manifest, merkle, mixing, near_dup, packing, quality, quality_model, secrets, toxicity, warc
 from docfields.llm.common import fold, table
 
 TOXIC_FOLDS = 5
 LANGUAGE_FOLDS = 3
 LANGUAGE_HELD_OUT = 1
+QUALITY_FOLDS = 5
 
 
 def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,6 +78,14 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return tree.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified", "lang")
 
 
+def op13_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    fold_of = fold(F.col("doc_id"), QUALITY_FOLDS)
+    model = quality_model.learn(documents, table(spark, folder, "labels"), fold_of != 0)
+    held_out = F.coalesce(fold_of == 0, F.lit(False))
+    return quality_model.quality_scores(documents, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "n_slots")
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,6 +95,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_best_fit_packing, op2_minhash_near_dedup, op3_secret_scan, op4_quality_rules, op5_document_fingerprints,
-        op6_mix_sources, op7_warc_archives, op8_line_dedup, op9_toxicity, op10_language_id, op11_merkle_manifest, pipeline,
+        op6_mix_sources, op7_warc_archives, op8_line_dedup, op9_toxicity, op10_language_id, op11_merkle_manifest,
+        op13_quality_classifier, pipeline,
     )
     return {query.__name__: query for query in found}
