@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfields.llm import language, line_dedup, manifest, merkle, mixing, near_dup, packing, quality, quality_model, secrets, toxicity, warc
+from docfields.llm import (
+    language, line_dedup, manifest, merkle, mixing, near_dup, packing, prefix_trie, quality, quality_model, secrets, toxicity,
+    warc,
+)
 from docfields.llm.common import fold, table
 
 TOXIC_FOLDS = 5
@@ -78,6 +81,11 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return tree.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified", "lang")
 
 
+def op12_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    trie = prefix_trie.prefix_trie(table(spark, folder, "conversations"))
+    return trie.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def op13_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     fold_of = fold(F.col("doc_id"), QUALITY_FOLDS)
@@ -96,6 +104,6 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_best_fit_packing, op2_minhash_near_dedup, op3_secret_scan, op4_quality_rules, op5_document_fingerprints,
         op6_mix_sources, op7_warc_archives, op8_line_dedup, op9_toxicity, op10_language_id, op11_merkle_manifest,
-        op13_quality_classifier, pipeline,
+        op12_conversation_trie, op13_quality_classifier, pipeline,
     )
     return {query.__name__: query for query in found}
