@@ -45,7 +45,14 @@ def read_responses(spark: SparkSession, path: str, multi_line: bool = False) ->
 
 
 def read_extractions(spark: SparkSession, path: str) -> DataFrame:
-    """Stored field rows of all runs; an empty table if nothing was ever stored there."""
+    """Stored field rows of all runs; an empty table if nothing was ever stored there.
+
+    A published table is read through its newest manifest version; a table of run folders written before that as it is.
+    """
+    from docfields.sources import published
+
+    if published.versions(spark, path):
+        return published.read_rows(spark, path).select(*schemas.EXTRACTIONS.names)
     try:
         stored = spark.read.schema(schemas.EXTRACTIONS).parquet(path)
         return stored.select(*schemas.EXTRACTIONS.names)

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docfields.operators import evaluate
-from docfields.operators.records import stamp
+from docfields.sources import published
 from docfields.schemas import SAMPLE_RECORD
 
 
 def append_extractions(rows: DataFrame, path: str, run_id: str) -> None:
     """Add the field rows of one run to the stored table; no rows add nothing.
 
-    Every run owns a directory, partitioned by document type, so a retry cannot store its rows twice. A batch run is one
-    epoch; streams have many.
+    The run is written to an attempt folder of its own and then published in one step (``sources.published``), so a
+    retry cannot store its rows twice and a broken rerun leaves the earlier rows in place. A batch run is one epoch;
+    streams have many.
     """
-    stamp(rows).write.mode("overwrite").partitionBy("doc_type").parquet(f"{path}/run_id={run_id}/epoch=0")
+    published.publish(rows, path, run_id, 0)
 
 
 def write_responses(nested: DataFrame, path: str) -> None:

@@ -12,7 +12,8 @@ from pyspark.sql.streaming import StreamingQuery
 from docfields import rules, schemas
 from docfields.operators.analytics import documents_by_type, errors_by_field
 from docfields.operators.extract import extract
-from docfields.operators.records import field_rows, stamp
+from docfields.operators.records import field_rows
+from docfields.sources import published
 from docfields.operators.validate import check
 
 # Arguments of the trigger. This one takes what has arrived and stops; ``{"processingTime": "1 minute"}`` goes on.
@@ -33,11 +34,11 @@ def extract_and_store(
 ) -> StreamingQuery:
     """Extract, check and append the field rows of everything that arrives to the stored table at ``path``.
 
-    Every step is a projection, so there is no state. The rows of a micro-batch go to ``run_id=<run>/epoch=<n>``, which a repeated
-    epoch replaces, so each document is stored once and batch runs may share the table.
+    Every step is a projection, so there is no state. The rows of a micro-batch are published as (run, epoch), which a
+    repeated epoch replaces in one step, so each document is stored once and batch runs may share the table.
     """
     def store(rows: DataFrame, epoch: int) -> None:
-        stamp(rows).write.mode("overwrite").partitionBy("doc_type").parquet(f"{path}/run_id={run_id}/epoch={epoch}")
+        published.publish(rows, path, run_id, epoch)
 
     return (
         field_rows(check(extract(documents)), run_id).writeStream.foreachBatch(store)
@@ -121,3 +122,27 @@ def latest_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def latest_ranking(spark: SparkSession, path: str) -> DataFrame:
     """The newest failure ranking."""
     return latest_state(spark, path, "field STRING, failures BIGINT")
+
+
+def running_failures_over_history(
+    documents: DataFrame, path: str, ranking: str, checkpoint: str, run_id: str, limit: int = rules.TOP_FAILURES_LIMIT,
+    trigger: Trigger = BACKLOG,
+) -> StreamingQuery:
+    """Publish the rows of every micro-batch to the table at ``path`` and keep the ranking over all of its history.
+
+    The state of the ranking is the table's own counters (``sources.published``): batch runs before the stream count from
+    the first epoch on, and later ones as soon as they are published, since ``published.top_failures`` merges the
+    counters of every published run. After each epoch the ranking is stored under ``ranking`` like the running counters.
+    """
+    def store(rows: DataFrame, epoch: int) -> None:
+        spark = rows.sparkSession
+        published.publish(rows, path, run_id, epoch)
+        published.top_failures(spark, path, limit).coalesce(1).write.mode("overwrite").parquet(f"{ranking}/{_folder(epoch)}")
+        _remove(spark, ranking, [f"{ranking}/{_folder(epoch - 2)}"])
+
+    return (
+        field_rows(check(extract(documents)), run_id).writeStream.foreachBatch(store)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**trigger)
+        .start()
+    )
