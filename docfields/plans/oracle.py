@@ -523,7 +523,14 @@ def all_statements() -> dict[str, str]:
         "eval_report": _statement(_REPORT, "metrics"),
         "stream_failures": _statement("select * from ranking", "ranking"),
     }
-    for name in ("response_flat", "response_json_roundtrip", "persisted_extractions", "stream_extract"):
+    for times, name in ((3, "maintained_top_failures"), (2, "stream_failures_history")):
+        made[name] = _statement(
+            f"select field_name as field, {times} * count(*) as failures from frows where not valid group by 1 "
+            "order by failures desc, field limit 20",
+            "frows",
+        )
+    for name in ("response_flat", "response_json_roundtrip", "persisted_extractions", "stream_extract", "published_rerun",
+                 "published_compacted"):
         made[name] = _statement(_ROWS, "frows")
     made["extract_from_words"] = _statement(f"{_ROWS}_w", "frows_w")
     made["eval_pairs_local"] = made["eval_pairs"]

@@ -13,7 +13,7 @@ from docfields.functions.dates import normalize_date
 from docfields.operators import analytics, evaluate, extract, records, tokens, validate
 from docfields.schemas import FIELD_REPORT, MICRO_REPORT, OCR_RESULT, RESPONSE, SAMPLE_RECORD
 from docfields.session import fresh_path
-from docfields.sources import admission, corpora, readers, writers
+from docfields.sources import admission, corpora, published, readers, writers
 from docfields.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -522,6 +522,51 @@ def stream_and_batch(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# --- published tables ----------------------------------------------------------------------------------------
+
+
+def published_rerun(spark: SparkSession, folder: str) -> DataFrame:
+    """A run is published, then a rerun of it breaks on the executors: readers still see the first run, whole."""
+    path, rows = fresh_path(spark, "published"), _field_rows(spark, folder)
+    writers.append_extractions(rows, path, RUN_ID)
+    broken = rows.withColumn("value", F.when(F.col("valid"), F.raise_error(F.lit("broken rerun"))).otherwise(F.col("value")))
+    try:
+        published.publish(broken, path, RUN_ID)
+    except Exception as error:  # the failure is the point: it must not reach the readers
+        if "broken rerun" not in str(error):
+            raise
+    return readers.read_extractions(spark, path).drop("created_at")
+
+
+def published_compacted(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream publishes one attempt per epoch; they are compacted into one and the replaced ones removed."""
+    sink, checkpoint = fresh_path(spark, "compacted"), fresh_path(spark, "compacted-log")
+    jobs.extract_and_store(_arriving_documents(spark, folder), sink, checkpoint, RUN_ID).awaitTermination()
+    published.compact(spark, sink, RUN_ID)
+    published.vacuum(spark, sink, keep=1)
+    return readers.read_extractions(spark, sink).drop("created_at")
+
+
+def maintained_top_failures(spark: SparkSession, folder: str) -> DataFrame:
+    """A batch run, a stream and another batch run into one table; the ranking is merged from their counters alone."""
+    path, checkpoint = fresh_path(spark, "maintained"), fresh_path(spark, "maintained-log")
+    checked = _checked(spark, folder)
+    writers.append_extractions(records.field_rows(checked, "before"), path, "before")
+    jobs.extract_and_store(_arriving_documents(spark, folder), path, checkpoint, RUN_ID).awaitTermination()
+    writers.append_extractions(records.field_rows(checked, "after"), path, "after")
+    return published.top_failures(spark, path)
+
+
+def stream_failures_history(spark: SparkSession, folder: str) -> DataFrame:
+    """The stream's own ranking after a batch run stored before it: it counts the batch run's rows too."""
+    path, ranking = fresh_path(spark, "history"), fresh_path(spark, "history-ranking")
+    writers.append_extractions(records.field_rows(_checked(spark, folder), "before"), path, "before")
+    jobs.running_failures_over_history(
+        _arriving_documents(spark, folder), path, ranking, fresh_path(spark, "history-log"), RUN_ID
+    ).awaitTermination()
+    return jobs.latest_ranking(spark, ranking)
+
+
 def all_queries() -> dict[str, Query]:
     plain = (
         corpus_invoices, corpus_id_cards, corpus_all, corpus_truth,
@@ -537,6 +582,7 @@ def all_queries() -> dict[str, Query]:
         eval_normalized, eval_pairs, eval_pairs_local, eval_counts, eval_field_metrics, eval_micro,
         eval_sample_count, eval_records, eval_report, eval_written, eval_written_micro, eval_written_samples,
         stream_extract, stream_failures, stream_docs_by_type, stream_errors_by_field, stream_and_batch,
+        published_rerun, published_compacted, maintained_top_failures, stream_failures_history,
     )
     found: dict[str, Query] = {query.__name__: query for query in plain}
     found.update({f"extract_{field}": _extract_field(field) for field in rules.RULE_FIELDS})
