@@ -22,6 +22,7 @@ labels the model is the prior (every score the same).
 
 from __future__ import annotations
 
+import io
 import math
 import re
 from collections.abc import Iterator
@@ -204,15 +205,38 @@ def fit(rows: list, seed: int = 0) -> Model:
     return Model(float(params["b"][0]), params["w"].astype(np.float32), params["v"].astype(np.float32), centre, spread)
 
 
+def _fit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fits the model on all rows that reach this one task (the bounded sample) and gives it as one binary cell."""
+    found = []
+    for batch in batches:
+        found.extend(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False),
+                         batch.column(3).to_numpy(zero_copy_only=False), batch.column(4).to_numpy(zero_copy_only=False)))
+        del batch
+    found.sort(key=lambda r: (str(r[0]), r[1]))
+    model = fit([(label, slots, values, dense) for _, label, slots, values, dense in found])
+    del found
+    out = io.BytesIO()
+    np.savez(out, bias=np.array([model.bias]), linear=model.linear, factors=model.factors, centre=model.centre, spread=model.spread)
+    yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["model"])
+
+
+def _loaded(blob: bytes) -> Model:
+    held = np.load(io.BytesIO(blob))
+    return Model(float(held["bias"][0]), held["linear"], held["factors"], held["centre"], held["spread"])
+
+
 def learn(documents: DataFrame, labels: DataFrame, learn_from: Column) -> Model:
+    """Features of the sample are made in parallel; the sample meets in one task, which fits the model there.
+
+    Only the fitted model (``DIM * (FACTORS + 1)`` floats) comes to the driver, to be broadcast.
+    """
     sample = learning_sample(documents, labels, learn_from)
     kind = sample.schema["doc_id"].dataType.simpleString()
     found = map_arrow(
         sample.select("doc_id", "text", "n_chars", "label"), _feature_batches,
         f"doc_id {kind}, label int, slots array<long>, values array<float>, dense array<double>",
-    ).collect()
-    found.sort(key=lambda r: (str(r.doc_id), r.label))
-    return fit([(r.label, r.slots, r.values, r.dense) for r in found])
+    )
+    return _loaded(map_arrow(found.repartition(1), _fit_batches, "model binary").first()["model"])
 
 
 def quality_scores(documents: DataFrame, model: Model) -> DataFrame:
