@@ -37,15 +37,20 @@ def _judged(pairs: DataFrame) -> DataFrame:
     )
 
 
-def pair_tables(truth: DataFrame, predicted: DataFrame) -> DataFrame:
+def pair_tables(truth: DataFrame, predicted: DataFrame, order: str | None = None) -> DataFrame:
     """Pair two long tables (doc_id, name, value) over the union of their names per document.
 
-    Each side is folded into one map per document first, so documents and not values are joined. A document has a name once
-    on either side.
+    Each side is folded into one map per document first, so documents and not values are joined. Where a name comes
+    more than once in a document, the last one wins, as when a dict is filled in order: the one with the largest
+    ``order`` column, or without such a column the largest value (ties of ``order`` go to the larger value too).
+    Rows without a name pair nothing. The fold sorts each document's entries once and keeps the last of every name.
     """
     def folded(table: DataFrame, column: str) -> DataFrame:
-        entries = F.collect_list(F.struct("name", "value"))
-        return table.groupBy("doc_id").agg(F.map_from_entries(entries).alias(column))
+        rank = F.col(order) if order and order in table.columns else F.col("value")
+        entries = F.array_sort(F.collect_list(F.struct("name", rank.alias("rank"), "value")))
+        last = F.filter(entries, lambda e, i: F.coalesce(F.get(entries, i + 1)["name"] != e["name"], F.lit(True)))
+        named = table.filter(F.col("name").isNotNull())
+        return named.groupBy("doc_id").agg(F.map_from_entries(F.transform(last, lambda e: F.struct(e["name"], e["value"]))).alias(column))
 
     none = F.create_map().cast("map<string,string>")
     both = folded(truth, "gt_values").join(folded(predicted, "pred_values"), "doc_id", "full_outer").select(

@@ -534,6 +534,20 @@ def all_statements() -> dict[str, str]:
         made[name] = _statement(_ROWS, "frows")
     made["extract_from_words"] = _statement(f"{_ROWS}_w", "frows_w")
     made["eval_pairs_local"] = made["eval_pairs"]
+    # Repeated names: the entry with the largest seq wins (a dict filled in order).
+    repeated_truth = (
+        "(select doc_id, name, arg_max(value, seq) as value from (select doc_id, name, value, 0 as seq from truth "
+        "union all select doc_id, name, value || '-stale', -1 from truth) group by 1, 2)"
+    )
+    repeated_preds = (
+        "(select doc_id, name, arg_max(value, seq) as value from (select doc_id, name, value, 0 as seq from preds "
+        "union all select doc_id, name, value || '-old', -1 from preds "
+        "union all select doc_id, name, 'planted', 1 from preds where name = 'invoice_number') group by 1, 2)"
+    )
+    made["eval_pairs_repeated"] = _statement(
+        _CTES["pairs"][1].replace("from truth t full join preds p", f"from {repeated_truth} t full join {repeated_preds} p"),
+        "truth", "preds",
+    )
     made["eval_written"] = made["eval_report"]
     made["eval_written_samples"] = made["eval_records"]
     made["eval_written_micro"] = _statement(

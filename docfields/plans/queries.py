@@ -419,6 +419,19 @@ def eval_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.pair_tables(truth, extract.predictions(_extracted(spark, folder)))
 
 
+def eval_pairs_repeated(spark: SparkSession, folder: str) -> DataFrame:
+    """Both sides name fields more than once: an earlier stale value everywhere, a later planted invoice number."""
+    truth = corpora.truth_table(corpora.everything(spark, folder)).withColumn("seq", F.lit(0))
+    truth = truth.unionByName(truth.select("doc_id", "name", F.concat("value", F.lit("-stale")).alias("value"), F.lit(-1).alias("seq")))
+    predicted = extract.predictions(_extracted(spark, folder)).select("doc_id", "name", "value", F.lit(0).alias("seq"))
+    predicted = predicted.unionByName(
+        predicted.select("doc_id", "name", F.concat("value", F.lit("-old")).alias("value"), F.lit(-1).alias("seq"))
+    ).unionByName(
+        predicted.filter(F.col("name") == "invoice_number").select("doc_id", "name", F.lit("planted").alias("value"), F.lit(1).alias("seq"))
+    )
+    return evaluate.pair_tables(truth, predicted, "seq")
+
+
 def eval_pairs_local(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.pair_documents(_samples(spark, folder))
 
@@ -579,7 +592,7 @@ def all_queries() -> dict[str, Query]:
         admitted, rejected,
         field_coverage, top_failures, recurrent_failures, low_accuracy_values, responses_with_failures,
         docs_by_type, errors_by_field, histogram_event_value, histogram_order_price,
-        eval_normalized, eval_pairs, eval_pairs_local, eval_counts, eval_field_metrics, eval_micro,
+        eval_normalized, eval_pairs, eval_pairs_repeated, eval_pairs_local, eval_counts, eval_field_metrics, eval_micro,
         eval_sample_count, eval_records, eval_report, eval_written, eval_written_micro, eval_written_samples,
         stream_extract, stream_failures, stream_docs_by_type, stream_errors_by_field, stream_and_batch,
         published_rerun, published_compacted, maintained_top_failures, stream_failures_history,

@@ -66,3 +66,15 @@ def test_published_accuracy(spark):
     assert table == {f: ((20 if f in invoice else 10), 0, 0, 1.0) for f in invoice | {"birth_date", "expiry_date", "id_number"}}
     assert validate.summarize(validate.check(extracted)).filter("not is_valid").count() == 0
     assert {r.doc_type for r in extracted.select("doc_type").distinct().collect()} == {"invoice", "id_card"}
+
+
+def test_repeated_names_last_wins(spark):
+    from docfields.operators import evaluate as ev
+
+    schema = "doc_id string, name string, value string, seq int"
+    truth = spark.createDataFrame([("d", "total", "10", 0), ("d", "total", "11", 1), ("d", "date", "x", 0), ("e", None, "z", 0)], schema)
+    predicted = spark.createDataFrame([("d", "total", "11", 0), ("d", "total", "10", 5), ("d", "total", "12", 1)], schema)
+    assert sorted(map(tuple, ev.pair_tables(truth, predicted, "seq").collect())) == [
+        ("d", "date", "x", "", "missed"), ("d", "total", "11", "10", "wrong")]
+    assert sorted(map(tuple, ev.pair_tables(truth, predicted).collect())) == [
+        ("d", "date", "x", "", "missed"), ("d", "total", "11", "12", "wrong")]
