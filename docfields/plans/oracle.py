@@ -529,7 +529,7 @@ def all_statements() -> dict[str, str]:
             "order by failures desc, field limit 20",
             "frows",
         )
-    for name in ("response_flat", "response_json_roundtrip", "persisted_extractions", "stream_extract", "published_rerun",
+    for name in ("response_flat", "response_json_roundtrip", "persisted_extractions", "stream_extract", "stream_redelivered", "published_rerun",
                  "published_compacted"):
         made[name] = _statement(_ROWS, "frows")
     made["extract_from_words"] = _statement(f"{_ROWS}_w", "frows_w")

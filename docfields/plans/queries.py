@@ -503,6 +503,21 @@ def stream_extract(spark: SparkSession, folder: str) -> DataFrame:
     return readers.read_extractions(spark, sink).drop("created_at")
 
 
+REDELIVERY = "7 days"
+
+
+def stream_redelivered(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document arrives twice, in two files of different micro-batches; each is stored once."""
+    source = fresh_path(spark, "arrivals-twice")
+    documents = corpora.everything(spark, folder).select("doc_id", "text")
+    documents.write.parquet(source)
+    documents.write.mode("append").parquet(source)
+    sink, checkpoint = fresh_path(spark, "redelivered"), fresh_path(spark, "redelivered-log")
+    stream = jobs.document_stream(spark, source, STREAM_FILES)
+    jobs.extract_and_store(stream, sink, checkpoint, RUN_ID, redelivery=REDELIVERY).awaitTermination()
+    return readers.read_extractions(spark, sink).drop("created_at")
+
+
 def stream_failures(spark: SparkSession, folder: str) -> DataFrame:
     sink = fresh_path(spark, "stream-ranking")
     checkpoint = fresh_path(spark, "stream-ranking-log")
@@ -595,7 +610,7 @@ def all_queries() -> dict[str, Query]:
         eval_normalized, eval_pairs, eval_pairs_repeated, eval_pairs_local, eval_counts, eval_field_metrics, eval_micro,
         eval_sample_count, eval_records, eval_report, eval_written, eval_written_micro, eval_written_samples,
         stream_extract, stream_failures, stream_docs_by_type, stream_errors_by_field, stream_and_batch,
-        published_rerun, published_compacted, maintained_top_failures, stream_failures_history,
+        stream_redelivered, published_rerun, published_compacted, maintained_top_failures, stream_failures_history,
     )
     found: dict[str, Query] = {query.__name__: query for query in plain}
     found.update({f"extract_{field}": _extract_field(field) for field in rules.RULE_FIELDS})

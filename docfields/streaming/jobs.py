@@ -30,16 +30,23 @@ def document_stream(spark: SparkSession, path: str, files_per_trigger: int | Non
 
 
 def extract_and_store(
-    documents: DataFrame, path: str, checkpoint: str, run_id: str, trigger: Trigger = BACKLOG
+    documents: DataFrame, path: str, checkpoint: str, run_id: str, trigger: Trigger = BACKLOG, redelivery: str | None = None
 ) -> StreamingQuery:
     """Extract, check and append the field rows of everything that arrives to the stored table at ``path``.
 
     Every step is a projection, so there is no state. The rows of a micro-batch are published as (run, epoch), which a
     repeated epoch replaces in one step, so each document is stored once and batch runs may share the table.
+
+    With ``redelivery`` (an interval such as ``"7 days"``), a document whose id arrived before within that time, in the same
+    file, another file or an earlier epoch, is dropped before extraction. The state is one key per id, kept until the
+    interval after its arrival has passed (the watermark runs on arrival time), so it does not grow with the history.
     """
     def store(rows: DataFrame, epoch: int) -> None:
         published.publish(rows, path, run_id, epoch)
 
+    if redelivery:
+        arrived = documents.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", redelivery)
+        documents = arrived.dropDuplicatesWithinWatermark(["doc_id"]).drop("_arrived")
     return (
         field_rows(check(extract(documents)), run_id).writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
