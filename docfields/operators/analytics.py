@@ -57,19 +57,27 @@ def histogram(
 
     One pass and one row of counters, which is then turned into one row per upper bound (``+Inf`` last).
     """
+    return buckets(histogram_counters(table, column, bounds, summed), bounds)
+
+
+def histogram_counters(
+    table: DataFrame, column: str, bounds: tuple[float, ...] = rules.LATENCY_BOUNDS_MS, summed: Column | None = None
+) -> DataFrame:
+    """One row of counters: values at or below each bound (``b0``...), their number and sum. Counters of parts add up,
+    so a stream keeps them as its state."""
     value = F.col(column)
-    counters = table.agg(
+    return table.agg(
         *[F.count_if(value <= bound).alias(f"b{i}") for i, bound in enumerate(bounds)],
         F.count(value).alias("observations"),
         F.sum(value if summed is None else summed).alias("total"),
     )
-    buckets = [
-        F.struct(F.lit(str(bound)).alias("le"), F.col(f"b{i}").alias("bucket")) for i, bound in enumerate(bounds)
-    ]
-    buckets.append(F.struct(F.lit("+Inf").alias("le"), F.col("observations").alias("bucket")))
-    return counters.select(
-        F.inline(F.array(*buckets)), F.col("observations"), F.coalesce("total", F.lit(0)).alias("total")
-    )
+
+
+def buckets(counters: DataFrame, bounds: tuple[float, ...] = rules.LATENCY_BOUNDS_MS) -> DataFrame:
+    """The counters as one row per upper bound (``+Inf`` last)."""
+    listed = [F.struct(F.lit(str(bound)).alias("le"), F.col(f"b{i}").alias("bucket")) for i, bound in enumerate(bounds)]
+    listed.append(F.struct(F.lit("+Inf").alias("le"), F.col("observations").alias("bucket")))
+    return counters.select(F.inline(F.array(*listed)), F.col("observations"), F.coalesce("total", F.lit(0)).alias("total"))
 
 
 def field_coverage(rows: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -499,6 +499,7 @@ def all_statements() -> dict[str, str]:
             "select field, count(*) as errors from msgs where level = 'error' group by 1", "msgs"
         ),
         "histogram_event_value": _histogram("value", "events", rules.LATENCY_BOUNDS_MS),
+        "stream_histogram_event_value": _histogram("value", "events", rules.LATENCY_BOUNDS_MS),
         "histogram_order_price": _histogram("o_totalprice", "orders", PRICE_BOUNDS),
         "eval_normalized": _statement(
             f"select doc_id, name, replace(lower(trim(value, {_SPACES})), ',', '') as compared from preds", "preds"

@@ -518,6 +518,19 @@ def stream_redelivered(spark: SparkSession, folder: str) -> DataFrame:
     return readers.read_extractions(spark, sink).drop("created_at")
 
 
+def stream_histogram_event_value(spark: SparkSession, folder: str) -> DataFrame:
+    """The events arrive in many files, a few per micro-batch; the running buckets equal those of the whole table."""
+    events = _table(spark, folder, "events")
+    source = fresh_path(spark, "event-arrivals")
+    events.repartition(4 * STREAM_FILES).write.parquet(source)
+    sink, checkpoint = fresh_path(spark, "event-buckets"), fresh_path(spark, "event-buckets-log")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", STREAM_FILES).parquet(source)
+    exact = F.col("value").cast("decimal(18,2)")
+    jobs.running_histogram(stream, "value", sink, checkpoint, summed=exact).awaitTermination()
+    found = jobs.latest_state(spark, sink, "le string, bucket long, observations long, total decimal(28,2)")
+    return found.withColumn("total", F.col("total").cast("double"))
+
+
 def stream_failures(spark: SparkSession, folder: str) -> DataFrame:
     sink = fresh_path(spark, "stream-ranking")
     checkpoint = fresh_path(spark, "stream-ranking-log")
@@ -610,7 +623,7 @@ def all_queries() -> dict[str, Query]:
         eval_normalized, eval_pairs, eval_pairs_repeated, eval_pairs_local, eval_counts, eval_field_metrics, eval_micro,
         eval_sample_count, eval_records, eval_report, eval_written, eval_written_micro, eval_written_samples,
         stream_extract, stream_failures, stream_docs_by_type, stream_errors_by_field, stream_and_batch,
-        stream_redelivered, published_rerun, published_compacted, maintained_top_failures, stream_failures_history,
+        stream_redelivered, stream_histogram_event_value, published_rerun, published_compacted, maintained_top_failures, stream_failures_history,
     )
     found: dict[str, Query] = {query.__name__: query for query in plain}
     found.update({f"extract_{field}": _extract_field(field) for field in rules.RULE_FIELDS})

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docfields import rules, schemas
-from docfields.operators.analytics import documents_by_type, errors_by_field
+from docfields.operators.analytics import buckets, documents_by_type, errors_by_field, histogram_counters
 from docfields.operators.extract import extract
 from docfields.operators.records import field_rows
 from docfields.sources import published
@@ -153,3 +153,15 @@ def running_failures_over_history(
         .trigger(**trigger)
         .start()
     )
+
+
+def running_histogram(
+    values: DataFrame, column: str, path: str, checkpoint: str, bounds: tuple[float, ...] = rules.LATENCY_BOUNDS_MS,
+    summed: Column | None = None, trigger: Trigger = BACKLOG,
+) -> StreamingQuery:
+    """Keep the cumulative buckets of a numeric column over everything that arrived.
+
+    The state is one row of counters (a count per bound, the number and the sum), which Spark merges across epochs and
+    partitions; after each epoch it is stored as buckets, like the other running counters.
+    """
+    return _running(histogram_counters(values, column, bounds, summed), path, checkpoint, trigger, lambda state: buckets(state, bounds))
