@@ -499,6 +499,11 @@ def all_statements() -> dict[str, str]:
             "select field, count(*) as errors from msgs where level = 'error' group by 1", "msgs"
         ),
         "histogram_event_value": _histogram("value", "events", rules.LATENCY_BOUNDS_MS),
+        "responses_quarantined": _statement(
+            "select count(*) as responses, count(*) filter (sha256(rid) like '0%') as quarantined, "
+            "count(*) + count(*) filter (sha256(rid) like '0%') as records, count(*) as good_rows from checked",
+            "checked",
+        ),
         "stream_histogram_event_value": _histogram("value", "events", rules.LATENCY_BOUNDS_MS),
         "histogram_order_price": _histogram("o_totalprice", "orders", PRICE_BOUNDS),
         "eval_normalized": _statement(

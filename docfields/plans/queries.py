@@ -324,6 +324,18 @@ def persisted_extractions(spark: SparkSession, folder: str) -> DataFrame:
     return readers.read_extractions(spark, path).drop("created_at")
 
 
+def responses_quarantined(spark: SparkSession, folder: str) -> DataFrame:
+    """Responses as JSON lines, and beside them a truncated copy of every response whose request id starts with 0."""
+    path = fresh_path(spark, "responses-mixed")
+    responses = records.responses(_checked(spark, folder), RUN_ID)
+    writers.write_responses(responses, f"{path}/good")
+    line = F.to_json(F.struct(*responses.columns))
+    broken = responses.filter(F.col("request_id").startswith("0")).select(F.substring(line, 1, 40).alias("value"))
+    broken.write.text(f"{path}/broken")
+    good, counts = readers.read_responses_quarantined(spark, f"{path}/*", fresh_path(spark, "quarantine"))
+    return counts.select("*", F.lit(good.count()).alias("good_rows"))
+
+
 def ocr_json_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """All pages with their texts and statistics, one row per token; a page without words has one row without."""
     path = fresh_path(spark, "ocr")
@@ -616,7 +628,7 @@ def all_queries() -> dict[str, Query]:
         amounts_clean, extract_mrz, doc_type, predictions_long, field_map,
         normalize_amounts, normalize_dates,
         check_totals, huge_amounts, check_due_date, check_expiry, messages, error_warning_split, is_valid, field_valid,
-        response_nested, response_flat, response_json_roundtrip, persisted_extractions, ocr_json_roundtrip,
+        response_nested, response_flat, response_json_roundtrip, responses_quarantined, persisted_extractions, ocr_json_roundtrip,
         admitted, rejected,
         field_coverage, top_failures, recurrent_failures, low_accuracy_values, responses_with_failures,
         docs_by_type, errors_by_field, histogram_event_value, histogram_order_price,

@@ -44,6 +44,37 @@ def read_responses(spark: SparkSession, path: str, multi_line: bool = False) ->
     return spark.read.schema(schemas.RESPONSE).json(path, multiLine=multi_line)
 
 
+CORRUPT = "_corrupt_record"
+
+
+def read_responses_quarantined(
+    spark: SparkSession, path: str, quarantine: str, multi_line: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Nested responses, with every record that is no response set aside instead of becoming a silent null row.
+
+    Returns the good responses and one row of counts (``responses``, ``quarantined``, ``records``: the two add up to the
+    records read; blank lines are no records). The malformed records go as text to ``quarantine``, one per line. The
+    input is parsed once: the parsed records are stored once, and both outputs are read from there.
+    """
+    from docfields.session import fresh_path
+
+    schema = StructType([*schemas.RESPONSE.fields, StructField(CORRUPT, StringType())])
+    raw = (
+        spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+        .json(path, multiLine=multi_line)
+    )
+    parsed = fresh_path(spark, "parsed-responses")
+    raw.write.parquet(parsed)
+    stored = spark.read.schema(schema).parquet(parsed)
+    stored.filter(F.col(CORRUPT).isNotNull()).select(CORRUPT).write.mode("overwrite").text(quarantine)
+    good = stored.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    counts = stored.agg(
+        F.count_if(F.col(CORRUPT).isNull()).alias("responses"), F.count_if(F.col(CORRUPT).isNotNull()).alias("quarantined"),
+        F.count("*").alias("records"),
+    )
+    return good, counts
+
+
 def read_extractions(spark: SparkSession, path: str) -> DataFrame:
     """Stored field rows of all runs; an empty table if nothing was ever stored there.
 

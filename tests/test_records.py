@@ -135,3 +135,13 @@ def test_document_source(spark, tmp_path):
     spark.createDataFrame([(7, "hello")], "key int, body string").write.parquet(str(tmp_path / "d"))
     table = readers.read_documents(spark, str(tmp_path / "d"), doc_id="key", text="body")
     assert [tuple(r) for r in table.collect()] == [("7", "hello")]
+
+
+def test_malformed_responses_are_quarantined_and_counted(spark, tmp_path):
+    lines = ['{"request_id": "a", "documents": []}', '{"request_id": "b", "docu', "", "[1, 2]", "not json", '{"request_id": "c"}']
+    (tmp_path / "in.json").write_text("\n".join(lines) + "\n")
+    good, counts = readers.read_responses_quarantined(spark, str(tmp_path / "in.json"), str(tmp_path / "bad"))
+    assert sorted(r.request_id for r in good.collect()) == ["a", "c"]
+    assert tuple(counts.first()) == (2, 3, 5)
+    assert sorted(spark.read.text(str(tmp_path / "bad")).collect()) == sorted(
+        spark.createDataFrame([(x,) for x in ('{"request_id": "b", "docu', "[1, 2]", "not json")], "value string").collect())
