@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docfields.operators import evaluate
 from docfields.sources import published
@@ -32,12 +33,25 @@ def write_ocr_results(results: DataFrame, path: str) -> None:
 def write_evaluation(spark: SparkSession, records: DataFrame, path: str) -> None:
     """Evaluation results as JSON lines: per-document records, per-field metrics, and micro metrics with the number of records.
 
-    The metrics are counted from the stored records, so the texts are read and searched only once.
+    The records are written, then read and parsed once: one aggregation counts the outcomes per field and the records
+    together (at most one row per field and one for the records), which are stored; both reports come from those rows.
     """
+    from docfields.session import fresh_path
+
     records.write.mode("overwrite").json(f"{path}/samples")
     stored = spark.read.schema(SAMPLE_RECORD).json(f"{path}/samples")
-    counts = evaluate.count_outcomes(evaluate.pairs_of_records(stored))
+    judged = F.transform(F.map_entries("fields"), lambda e: F.struct(e["key"].alias("name"), e["value"]["status"].alias("status")))
+    sample = F.struct(F.lit(None).cast("string").alias("name"), F.lit("sample").alias("status"))
+    outcomes = stored.select(F.inline(F.concat(F.array(sample), F.coalesce(judged, F.array().cast("array<struct<name:string,status:string>>")))))
+    counted_path = fresh_path(spark, "evaluation-counts")
+    status = F.col("status")
+    outcomes.groupBy("name").agg(
+        F.count_if(status == "tp").alias("tp"), F.count_if(status.isin("wrong", "spurious")).alias("fp"),
+        F.count_if(status.isin("wrong", "missed")).alias("fn"), F.count_if(status == "sample").alias("n_samples"),
+    ).write.parquet(counted_path)
+    counted = spark.read.parquet(counted_path)
+    counts = counted.filter(F.col("name").isNotNull()).drop("n_samples")
     evaluate.report(counts).write.mode("overwrite").json(f"{path}/per_field")
-    samples = evaluate.sample_count(stored).scalar().alias("n_samples")
+    samples = counted.filter(F.col("name").isNull()).select("n_samples").scalar().alias("n_samples")
     micro = evaluate.rounded(evaluate.micro_metrics(counts)).select(samples, "*")
     micro.write.mode("overwrite").json(f"{path}/micro")
