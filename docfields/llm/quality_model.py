@@ -30,6 +30,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +48,13 @@ DECAY = 1e-5
 THRESHOLD = 0.3
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_GAPS = re.compile(r"[\x20\x09-\x0D]+")
+_LETTERS = regex.compile(r"\p{L}+")
+_UPPER = regex.compile(r"\p{Lu}+")
+_DIGITS = regex.compile(r"\p{Nd}+")
+_SPACES = regex.compile(r"\s+")
+_LONG_WORD = re.compile(r"[^\x20\x09-\x0D]{13,}")
+_CAPITAL_WORD = regex.compile(r"(?<![^\x20\x09-\x0D])\p{Lu}")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
 _PUNCT = re.compile(r"[.,;:!?\"'()\[\]{}-]")
 DENSE = (
@@ -63,29 +71,37 @@ class Model(NamedTuple):
     spread: np.ndarray  # len(DENSE)
 
 
-def _dense(text: str, n_chars: int | None) -> list[float]:
-    words = _WORD.findall(text)
-    n, size = len(words), max(1, len(text))
+def _run_length(pattern: regex.Pattern, text: str) -> int:
+    return sum(map(len, pattern.findall(text)))
+
+
+def _dense(text: str, n_chars: int | None, lowered: list[str] | None = None) -> list[float]:
+    """The structure statistics of a whole text; characters are counted by runs, so no Python loop visits each one.
+
+    ``lowered`` are the words of the lower-cased text, if the caller has them already.
+    """
+    lowered = _WORD.findall(text.lower()) if lowered is None else lowered
+    n, size = len(lowered), max(1, len(text))
     lines = [line for line in text.split("\n") if line.strip()]
-    word_chars = sum(len(w) for w in words)
-    letters = sum(ch.isalpha() for ch in text)
+    word_chars = size - _run_length(_GAPS, text) if text else 0
+    letters = _run_length(_LETTERS, text)
     stripped = [line.strip() for line in lines]
     return [
         math.log1p(n),
         word_chars / n if n else 0.0,
-        sum(len(w) > 12 for w in words) / n if n else 0.0,
+        len(_LONG_WORD.findall(text)) / n if n else 0.0,
         letters / size,
-        sum(ch.isupper() for ch in text) / max(1, letters),
-        sum(ch.isdigit() for ch in text) / size,
+        _run_length(_UPPER, text) / max(1, letters),
+        _run_length(_DIGITS, text) / size,
         len(_PUNCT.findall(text)) / size,
         len(_SYMBOL.findall(text)) / size,
-        sum(ch.isspace() for ch in text) / size,
+        _run_length(_SPACES, text) / size,
         math.log1p(len(lines)),
-        sum(len(_WORD.findall(line)) < 4 for line in lines) / len(lines) if lines else 0.0,
+        sum(len(line.split()) < 4 for line in lines) / len(lines) if lines else 0.0,
         1.0 - len(set(stripped)) / len(stripped) if stripped else 0.0,
         sum(line[-1] in ".!?\"'" for line in stripped) / len(stripped) if stripped else 0.0,
-        len({w.lower() for w in words}) / n if n else 0.0,
-        sum(w[0].isupper() for w in words) / n if n else 0.0,
+        len(set(lowered)) / n if n else 0.0,
+        len(_CAPITAL_WORD.findall(text)) / n if n else 0.0,
         math.log1p(n_chars) if n_chars is not None and n_chars >= 0 else 0.0,
         1.0 if n_chars is None else 0.0,
     ]
@@ -94,11 +110,12 @@ def _dense(text: str, n_chars: int | None) -> list[float]:
 def features(text: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed word slots with their values, and the raw dense values, of one whole text."""
     text = text or ""
-    distinct = {w.lower() for w in _WORD.findall(text)}
+    lowered = _WORD.findall(text.lower())
+    distinct = set(lowered)
     slots = np.unique(np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) % DIM for w in distinct),
                                   np.int64, len(distinct)))
     values = np.full(len(slots), 1.0 / math.sqrt(max(1, len(distinct))), np.float32)
-    return slots, values, np.asarray(_dense(text, n_chars), np.float64)
+    return slots, values, np.asarray(_dense(text, n_chars, lowered), np.float64)
 
 
 def _full(slots: np.ndarray, values: np.ndarray, dense: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
