@@ -26,16 +26,19 @@ def test_query_equals_statement(spark, name):
     assert Counter(map(tuple, found.select(*columns).collect())) == Counter(result.fetchall())
 
 
-@pytest.mark.parametrize("name", ["op2_minhash_near_dedup", "op3_secret_scan", "op9_toxicity", "op10_language_id"])
+@pytest.mark.parametrize(
+    "name", ["op2_minhash_near_dedup", "op3_secret_scan", "op9_toxicity", "op10_language_id", "op11_merkle_manifest",
+             "op13_quality_classifier"],
+)
 def test_one_row_for_each_document(spark, name):
     documents = spark.read.parquet(f"{FOLDER}/documents.parquet")
     found = queries.all_queries()[name](spark, FOLDER)
     assert Counter(r[0] for r in found.select("doc_id").collect()) == Counter(r[0] for r in documents.select("doc_id").collect())
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_thirteen_and_the_pipeline_are_registered():
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert {f"op{n}_" for n in range(1, 11)} == {name.split("_")[0] + "_" for name in names if name.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {name.split("_")[0] + "_" for name in names if name.startswith("op")}
     assert "pipeline" in names
