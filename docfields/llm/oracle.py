@@ -249,9 +249,63 @@ LEFT JOIN proofs p ON p.lang IS NOT DISTINCT FROM l.lang AND p.i = l.i
 JOIN (SELECT lang, i, arg_max(acc, s) AS acc FROM folded GROUP BY lang, i) f ON f.lang IS NOT DISTINCT FROM l.lang AND f.i = l.i
 """
 
+OP12 = r"""
+WITH crc_table AS (
+  SELECT list(list_reduce(range(8), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), n::BIGINT)
+              ORDER BY n) AS t
+  FROM range(256) r(n)
+),
+turns AS (
+  SELECT conv_id, role, text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS rank
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+),
+sizes AS (SELECT conv_id, count(*) AS size FROM turns GROUP BY conv_id),
+convs AS (
+  SELECT s.conv_id, s.conv_id - s.conv_id % 100 AS base,
+         xor(list_reduce(range(strlen(CAST(s.conv_id AS VARCHAR))),
+           lambda c, k: xor(t[(xor(c, ascii(substr(CAST(s.conv_id AS VARCHAR), k + 1, 1))) & 255) + 1], c >> 8),
+           4294967295::BIGINT), 4294967295) % 6 AS h
+  FROM sizes s, crc_table
+),
+framed AS (SELECT c.*, least(c.h, coalesce(b.size, 0)) AS k FROM convs c LEFT JOIN sizes b ON b.conv_id = c.base),
+elements AS (
+  SELECT f.conv_id, t.rank AS at, t.role, t.text FROM framed f JOIN turns t ON t.conv_id = f.base WHERE t.rank < f.h
+  UNION ALL
+  SELECT f.conv_id, f.k + t.rank - f.h, t.role, t.text FROM framed f JOIN turns t ON t.conv_id = f.conv_id WHERE t.rank >= f.h
+),
+seqs AS (
+  SELECT f.conv_id, coalesce(list({'r': e.role, 't': e.text} ORDER BY e.at) FILTER (WHERE e.at IS NOT NULL), []) AS seq
+  FROM framed f LEFT JOIN elements e ON e.conv_id = f.conv_id GROUP BY f.conv_id
+),
+prefixes AS (SELECT conv_id, len(seq) AS total, d, seq[1:d] AS prefix FROM seqs, range(0, len(seq) + 1) r(d)),
+nodes AS (
+  SELECT prefix, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE total = d), '')) AS ends_sha256,
+         CASE WHEN d = 0 THEN 0 ELSE length(prefix[d].t) END AS last_len
+  FROM prefixes GROUP BY prefix, d
+),
+children AS (SELECT prefix[1:d - 1] AS parent, d - 1 AS pd, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1, 2),
+valued AS (
+  SELECT n.*, coalesce(c.n_children, 0) AS n_children, p.conv_id AS parent_conv_id,
+         CASE WHEN coalesce(c.n_children, 0) = 0 THEN 1 ELSE 0 END AS leaf, (n.n_convs - 1) * n.last_len AS saved
+  FROM nodes n
+  LEFT JOIN children c ON c.parent = n.prefix AND c.pd = n.d
+  LEFT JOIN nodes p ON n.d > 0 AND p.d = n.d - 1 AND p.prefix = n.prefix[1:n.d - 1]
+),
+subtree AS (
+  SELECT v.prefix[1:a] AS top, a, sum(v.leaf) AS n_leaves, sum(v.saved) AS saved_tokens
+  FROM valued v, range(0, v.d + 1) r(a) GROUP BY 1, 2
+)
+SELECT v.conv_id, v.d AS depth, v.parent_conv_id, v.n_convs, v.n_children::BIGINT AS n_children,
+       s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, v.ends_sha256
+FROM valued v JOIN subtree s ON s.top = v.prefix AND s.a = v.d
+"""
+
 
 def all_statements() -> dict[str, str]:
     return {
         "op4_quality_rules": OP4, "op5_document_fingerprints": OP5, "op6_mix_sources": OP6,
         "op7_warc_archives": OP7, "op8_line_dedup": OP8, "op11_merkle_manifest": OP11,
+        "op12_conversation_trie": OP12,
     }
