@@ -17,7 +17,7 @@ ROWS_OF = {"op7_warc_archives": "pages"}
 def test_query_equals_statement(spark, name):
     duckdb = pytest.importorskip("duckdb")
     connection = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "conversations"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     found = queries.all_queries()[name](spark, FOLDER)
     result = connection.execute(STATEMENTS[name])
