@@ -108,9 +108,16 @@ def attach_top_failures(nested: DataFrame, history: DataFrame, limit: int = rule
     """
     from docfields.operators.analytics import top_failures
 
-    ranking = (
-        top_failures(history, limit)
-        .agg(F.sort_array(F.collect_list(F.struct((-F.col("failures")).alias("rank"), "field", "failures"))).alias("r"))
+    return attach_ranking(nested, top_failures(history, limit))
+
+
+def attach_ranking(nested: DataFrame, ranking: DataFrame) -> DataFrame:
+    """Set a ranking (field, failures; at most a few rows) on every response, as a scalar subquery.
+
+    With the ranking of a published table (``published.top_failures``) only its counters are read, not its rows.
+    """
+    listed = (
+        ranking.agg(F.sort_array(F.collect_list(F.struct((-F.col("failures")).alias("rank"), "field", "failures"))).alias("r"))
         .select(F.transform("r", lambda e: F.struct(e["field"], e["failures"])).cast(TOP_FAILURES).alias("top"))
     )
-    return nested.withColumn("analytics", F.struct(ranking.scalar().alias("top_failures")))
+    return nested.withColumn("analytics", F.struct(listed.scalar().alias("top_failures")))

@@ -392,7 +392,7 @@ def responses_with_failures(spark: SparkSession, folder: str) -> DataFrame:
     records.responses(_checked(spark, folder), RUN_ID).write.parquet(path)
     stored = spark.read.schema(RESPONSE).parquet(path)
     writers.append_extractions(records.flatten_responses(stored), table, RUN_ID)
-    nested = records.attach_top_failures(stored, readers.read_extractions(spark, table))
+    nested = records.attach_ranking(stored, published.top_failures(spark, table))
     ranking = F.transform("analytics.top_failures", lambda e: F.concat_ws(":", e["field"], e["failures"]))
     return nested.select("request_id", F.array_join(ranking, ";").alias("ranking"))
 
