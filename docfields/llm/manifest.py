@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from docfields.llm.common import stored
 
 LEVELS_PER_BLOCK = 10
+# Copies of each language's row in the last join, so that one language's leaves spread over so many tasks.
+SALTS = 64
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 # The rows whose unsigned crc32 of the decimal id this divides are tampered with by ``tamper``.
 TAMPER_MODULUS = 7
@@ -185,11 +187,16 @@ def manifest(documents: DataFrame) -> DataFrame:
         ["_all"], [F.col("lang").asc_nulls_first()],
     )
     above = tree(subroots.select("_all", "pos", "n", "hash"), ["_all"]).join(subroots.select("_all", "pos", "lang"), ["_all", "pos"])
-    above = above.select(F.col("lang").alias("_lang"), F.col("hash").alias("subroot"), F.col("path").alias("_above"), "root")
+    # One row per language meets all leaves of that language: salted, so a language with a third of all rows is spread
+    # over SALTS tasks (its row is copied to each), whatever the number of languages.
+    above = above.select(
+        F.col("lang").alias("_lang"), F.col("hash").alias("subroot"), F.col("path").alias("_above"), "root",
+        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"),
+    )
     full = (
         below.drop("root").join(leaves.select(F.col("lang").alias("_l"), F.col("pos").alias("_p"), "doc_id", "tampered_leaf"),
                    F.col("lang").eqNullSafe(F.col("_l")) & (F.col("pos") == F.col("_p")))
-        .join(above, F.col("lang").eqNullSafe(F.col("_lang")))
+        .join(above, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("pos") % SALTS == F.col("_salt")))
     )
     path = F.concat("path", "_above")
     return full.select(
