@@ -197,7 +197,7 @@ def _answers(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _ends_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams rows sorted by (run, conv_id) and gives per run the SHA-256 of its ids, comma-joined."""
+    """Streams rows sorted by (run_key, conv_id) and gives per run the SHA-256 of its ids, comma-joined."""
     current, digest, first = None, None, True
     out_runs, out_shas = [], []
     for batch in batches:
@@ -211,12 +211,12 @@ def _ends_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digest.update((b"" if first else b",") + str(conv).encode())
             first = False
         if len(out_runs) >= 4096:
-            yield pa.RecordBatch.from_arrays([pa.array(out_runs, pa.int64()), pa.array(out_shas)], names=["run", "ends_sha256"])
+            yield pa.RecordBatch.from_arrays([pa.array(out_runs, pa.string()), pa.array(out_shas)], names=["run_key", "ends_sha256"])
             out_runs, out_shas = [], []
     if digest is not None:
         out_runs.append(current)
         out_shas.append(digest.hexdigest())
-    yield pa.RecordBatch.from_arrays([pa.array(out_runs, pa.int64()), pa.array(out_shas)], names=["run", "ends_sha256"])
+    yield pa.RecordBatch.from_arrays([pa.array(out_runs, pa.string()), pa.array(out_shas)], names=["run_key", "ends_sha256"])
 
 
 def prefix_trie(conversations: DataFrame) -> DataFrame:
@@ -310,10 +310,10 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     )
     # Members whose whole conversation is the node: a run of equal sequences, hashed in id order while streaming.
     runs = rows.groupBy("run_key").agg(F.min("pos").alias("run"), F.min("n_turns").alias("run_depth"))
-    members = rows.select("run_key", "conv_id").join(runs, "run_key").select("run", "conv_id")
-    digests = members.repartition("run").sortWithinPartitions("run", "conv_id").mapInArrow(
-        _ends_digest, "run long, ends_sha256 string"
-    ).join(runs.select("run", "run_depth"), "run")
+    # The ids of a run are streamed in order into its digest; only the one row per run meets ``runs`` afterwards.
+    digests = rows.select("run_key", "conv_id").repartition("run_key").sortWithinPartitions("run_key", "conv_id").mapInArrow(
+        _ends_digest, "run_key string, ends_sha256 string"
+    ).join(runs, "run_key")
     result = summed.join(
         digests.select(F.col("run").alias("start"), F.col("run_depth").alias("depth"), "ends_sha256"), ["start", "depth"], "left"
     )
