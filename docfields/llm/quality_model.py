@@ -11,8 +11,8 @@ part is scored in linear time by the sum-of-squares identity
 ``sum_{i<j} <v_i, v_j> x_i x_j = 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)``; the score is the logistic of y.
 
 *Learning.* About ``LEARNING_DOCUMENTS`` labelled documents (chosen by a digest of the id, one text per id; repeated
-labels of an id count as good if any is) are turned into features on the executors and fitted on the driver by
-Adam on the logistic loss with L2 decay, in a fixed order, so reruns agree. Scoring reads every whole text, one Arrow
+labels of an id count as good if any is) are turned into features on the executors and fitted in one executor task
+by Adam on the logistic loss with L2 decay, in a fixed order, so reruns agree; only the model reaches the driver. Scoring reads every whole text, one Arrow
 batch at a time, with the model broadcast (``DIM * (FACTORS + 1)`` floats, 9.4 MB).
 
 Odd input: null and empty texts have only their dense features and get a defined score; ids of any type pass
