@@ -159,7 +159,7 @@ def words_stored(spark: SparkSession, folder: str) -> DataFrame:
     counted = []
     for form in ("parquet", "json"):
         path = fresh_path(spark, f"words-{form}")
-        words.write.format(form).save(path)
+        writers.write_words(words, path, form)
         counted.append(readers.read_words(spark, path, form).withColumn("form", F.lit(form)))
     return counted[0].unionByName(counted[1]).groupBy("form", "page_index").agg(
         F.count("*").alias("words"), F.sum("pos").alias("positions"), F.sum(F.length("text")).alias("characters"),

@@ -20,14 +20,26 @@ def append_extractions(rows: DataFrame, path: str, run_id: str) -> None:
     published.publish(rows, path, run_id, 0)
 
 
+# Word tables and page results repeat their names and ids in every line, so text forms are stored compressed; a compressed
+# file is read by one task, so its number of records is bounded.
+_TEXT_CODEC = "gzip"
+FILE_RECORDS = 1_000_000
+
+
+def write_words(words: DataFrame, path: str, form: str = "parquet") -> None:
+    """A word table as Parquet or JSON lines, compressed, in files of at most ``FILE_RECORDS`` words."""
+    codec = "zstd" if form == "parquet" else _TEXT_CODEC
+    words.write.mode("overwrite").option("compression", codec).option("maxRecordsPerFile", FILE_RECORDS).format(form).save(path)
+
+
 def write_responses(nested: DataFrame, path: str) -> None:
     """Nested responses as JSON lines."""
     nested.write.mode("overwrite").json(path)
 
 
 def write_ocr_results(results: DataFrame, path: str) -> None:
-    """Nested page results as JSON lines."""
-    results.write.mode("overwrite").json(path)
+    """Nested page results as compressed JSON lines, in files of at most ``FILE_RECORDS`` pages."""
+    results.write.mode("overwrite").option("compression", _TEXT_CODEC).option("maxRecordsPerFile", FILE_RECORDS).json(path)
 
 
 def write_evaluation(spark: SparkSession, records: DataFrame, path: str) -> None:
