@@ -88,3 +88,15 @@ def test_stream_ranking_covers_all_history(spark, tmp_path):
     writers.append_extractions(field_rows(check(extract(_documents(spark, 60, 90))), "after"), table, "after")
     everything = field_rows(check(extract(_documents(spark, 0, 90))), "x")
     assert _rows(published.top_failures(spark, table)) == _rows(analytics.top_failures(everything))
+
+
+def test_compaction_writes_more_files_for_more_rows(spark, rows, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    for epoch in range(4):
+        published.publish(rows.repartition(4), path, "s", epoch)
+    before = _rows(readers.read_extractions(spark, path))
+    monkeypatch.setattr(published, "FILE_ROWS", len(before) // 3)
+    published.compact(spark, path, "s")
+    stored = published.read_rows(spark, path)
+    assert len(stored.inputFiles()) > 1
+    assert _rows(readers.read_extractions(spark, path)) == before
