@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docfields import rules
 from docfields.operators.validate import ERROR_FIELDS, flag_column
 
 
+# Bits of a long without its sign.
+_BITS = 63
+
+
 def top_failures(rows: DataFrame, limit: int = rules.TOP_FAILURES_LIMIT) -> DataFrame:
     """The fields that fail most often; ties go by name."""
     return (
@@ -34,6 +38,29 @@ def low_accuracy_values(
     )
 
 
+def stored_by_validity(rows: DataFrame) -> DataFrame:
+    """Rows, different requests and stamped rows of every (field, validity) of a stored table.
+
+    The pairs are numbered, and a request becomes one row with a bit for each of its pairs, so requests and not their
+    many rows are shuffled; of requests with the same bits only the number goes on.
+    """
+    counted = rows.groupBy("field_name", "valid").agg(F.count("*").alias("stored"), F.count("created_at").alias("stamped"))
+    place = F.row_number().over(Window.orderBy("field_name", "valid")) - 1
+    numbered = counted.withColumn("place", place).select(
+        "*", F.floor(F.col("place") / _BITS).alias("word"), F.expr(f"shiftleft(1L, cast(place % {_BITS} AS int))").alias("bit")
+    )
+    pairs = F.broadcast(numbered.select(F.col("field_name").alias("f"), F.col("valid").alias("v"), "word", "bit"))
+    same = F.col("field_name").eqNullSafe(F.col("f")) & F.col("valid").eqNullSafe(F.col("v"))
+    requests = rows.filter(F.col("request_id").isNotNull()).join(pairs, same).groupBy("request_id", "word").agg(F.bit_or("bit").alias("bits"))
+    alike = requests.groupBy("word", "bits").agg(F.count("*").alias("n")).select(F.col("word").alias("w"), "bits", "n")
+    held = (F.col("word") == F.col("w")) & (F.col("bits").bitwiseAND(F.col("bit")) != 0)
+    return (
+        numbered.join(alike, held, "left").groupBy("field_name", "valid", "stored", "stamped")
+        .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("requests"))
+        .select("field_name", "valid", "stored", "requests", "stamped")
+    )
+
+
 def documents_by_type(extracted: DataFrame) -> DataFrame:
     """Number of documents of every type."""
     return extracted.groupBy("doc_type").agg(F.count("*").alias("documents"))
