@@ -11,10 +11,12 @@ similarity ``J_P = sum_d 1 / sum_e max(a_e / a_d, b_e / b_d)``; for plain sets i
    members, whatever the size of the bucket. The centre is the member with the most company over all its buckets;
    a text of which the others are copies keeps the registers that most of them keep.
 3. Pairs are verified exactly on the whole texts.
-4. Members that differ from the centre stay for further rounds, until none is left: one new centre in the first of
-   them, ``GROWTH`` times as many in each next one. ``1 - J_P`` is a metric, so of the members already placed only those stay
-   that the triangle inequality lets resemble one of them. A member that links in other buckets have joined to the
-   centre's group counts as placed. No link that banding found a bucket for is lost to the groups.
+4. Buckets whose members differ from the centre stay open. ``1 - J_P`` is a metric, so only members stay that the triangle
+   inequality lets resemble one that no link has joined to the centre's group. Small buckets are compared pair by pair.
+   In larger ones each member is reduced to the shingles in which it differs from the centre: texts that resemble each
+   other, but not the centre, share some of them, and one of the few that their bucket has least often at that (prefix
+   filter, see ``_split``). Those that share one are the next buckets, so copies that changed in different places never meet, and
+   those that changed alike get a centre of their own. No link that banding found a bucket for is lost to the groups.
 5. Connected components of the links give the class ids (alternating large and small stars).
 """
 
@@ -36,7 +38,8 @@ SIMILARITY = 0.8
 BANDS = 16
 ROWS = 4
 REGISTERS = BANDS * ROWS
-# So many times as many centres for a bucket in each further round.
+# Buckets of so many members are compared pair by pair; so many times as many in each further round.
+FEW = 8
 GROWTH = 16
 # Shingles that are processed together.
 BATCH_SHINGLES = 1_000_000
@@ -181,13 +184,47 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
-    """member, centre and their exact similarity. ``pairs`` is a stored table, so a small one is broadcast."""
+def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles that only one of member and centre has, and the weight of the member's; rows come sorted by centre."""
+    last: str | None = None
+    centre = weighted_shingles([])
+    for batch in batches:
+        totals, plain, different = [], [], []
+        for text, centre_text in zip(batch.column(2), batch.column(3), strict=True):
+            other = centre_text.as_py()
+            if other != last:
+                last, centre = other, weighted_shingles(split_words(other))
+            member = weighted_shingles(split_words(text.as_py()))
+            totals.append(int(member[1].sum()))
+            plain.append(bool((member[1] == 1).all() and (centre[1] == 1).all()))
+            different.append(np.setxor1d(member[0], centre[0], assume_unique=True).view(np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0), batch.column(1), pa.array(totals, pa.int64()), pa.array(plain, pa.bool_()),
+                pa.array(different, pa.list_(pa.int64())),
+            ],
+            names=["member", "centre", "total", "plain", "different"],
+        )
+
+
+def _with_texts(pairs: DataFrame, documents: DataFrame) -> DataFrame:
+    """member, centre and both texts. ``pairs`` is a stored table, so a small one is broadcast."""
     texts = documents.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
-    kind = documents.schema["doc_id"].dataType.simpleString()
     members = pairs.join(texts, pairs["member"] == texts["doc_id"]).select("member", "centre", F.col("text").alias("member_text"))
-    both = members.join(texts, members["centre"] == texts["doc_id"]).select("member", "centre", "member_text", "text")
-    return map_arrow(both, _verify, f"member {kind}, centre {kind}, similarity double")
+    return members.join(texts, members["centre"] == texts["doc_id"]).select("member", "centre", "member_text", "text")
+
+
+def verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
+    """member, centre and their exact similarity."""
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return map_arrow(_with_texts(pairs, documents), _verify, f"member {kind}, centre {kind}, similarity double")
+
+
+def differences(pairs: DataFrame, documents: DataFrame) -> DataFrame:
+    """member, centre, the shingles that only one of them has, how many the member has, and whether none repeats in either."""
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    schema = f"member {kind}, centre {kind}, total long, plain boolean, different array<long>"
+    return map_arrow(_with_texts(pairs, documents), _differ, schema)
 
 
 def _crowded(signed_representatives: DataFrame) -> DataFrame:
@@ -216,10 +253,11 @@ def _within(distance: Column) -> Column:
 
 
 def _open(state: DataFrame) -> DataFrame:
-    """Members that a further round needs: unplaced ones, and placed ones that may resemble one of them.
+    """The members of each bucket that may have a link to find: unplaced ones, and placed ones that may resemble one of them.
 
-    ``state`` has bucket, member, placed and the distance to the bucket's first centre. The distances of two members that
-    resemble each other differ by no more than two alike texts may differ.
+    ``state`` has bucket, centre, member, degree, the distance to the centre, placed (in the centre's group), the group,
+    and ``short``: one of each two that are to be compared has it. The distances of two members that resemble each other
+    differ by no more than two alike texts may differ.
     """
     reach = 1 - SIMILARITY + _EPSILON
     free = F.when(~F.col("placed"), F.col("distance"))
@@ -228,7 +266,9 @@ def _open(state: DataFrame) -> DataFrame:
         state.groupBy("bucket").agg(
             F.count(free).alias("unplaced"), F.min(free).alias("nearest"), F.max(free).alias("farthest"),
             F.min(fixed).alias("placed_nearest"), F.max(fixed).alias("placed_farthest"),
+            F.min("group").alias("lowest"), F.max("group").alias("highest"), F.count_if("short").alias("shorts"),
         )
+        .filter((F.col("shorts") > 0) & (F.col("lowest") != F.col("highest")))
         .filter((F.col("unplaced") > 1) | (
             (F.col("unplaced") == 1) & (F.col("placed_farthest") >= F.col("nearest") - reach)
             & (F.col("placed_nearest") <= F.col("farthest") + reach)))
@@ -236,46 +276,106 @@ def _open(state: DataFrame) -> DataFrame:
     )
     within = F.col("distance").between(F.col("nearest") - reach, F.col("farthest") + reach)
     return stored(
-        state.join(stored(needs, "open-buckets"), "bucket").filter(~F.col("placed") | within).drop("nearest", "farthest"),
+        state.join(needs, "bucket").filter(~F.col("placed") | within).drop("nearest", "farthest"),
         "open-members",
     )
 
 
-def _centres(state: DataFrame, number: int) -> DataFrame:
-    """The most connected unplaced member of each bucket, and about ``number`` more; which ones depends on the ids alone.
-
-    A bucket with fewer unplaced members has them all as centres.
-    """
-    unplaced = state.filter(~F.col("placed"))
-    first = unplaced.groupBy("bucket").agg(_most_connected().alias("first"), F.count("*").alias("unplaced"))
-    draw = F.pmod(F.xxhash64("member", F.lit(number)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    chosen = unplaced.join(stored(first, "unplaced"), "bucket").filter(
-        (F.col("member") == F.col("first")) | (draw * F.col("unplaced") < number - 1)
-    )
-    return stored(chosen.select("bucket", F.col("member").alias("centre")), "centres")
+def _parted(state: DataFrame, few: int) -> tuple[DataFrame, DataFrame]:
+    """The members of buckets with no more than ``few`` short ones, and those of larger buckets."""
+    sizes = state.groupBy("bucket").agg(F.count_if("short").alias("shorts"))
+    sized = state.join(sizes, "bucket")
+    return sized.filter(F.col("shorts") <= few).drop("shorts"), sized.filter(F.col("shorts") > few).drop("shorts")
 
 
-def _after_round(state: DataFrame, centres: DataFrame, near: DataFrame) -> DataFrame:
-    """The state once all members of each bucket have been compared with its centres.
-
-    A centre has no further link to find, so it is placed if it resembles a placed member, along with all that
-    resembles it, and otherwise leaves the bucket.
+def _all_pairs(state: DataFrame) -> DataFrame:
+    """member and centre of all pairs of a bucket that are to be compared and that no link has joined yet."""
+    columns = ("bucket", "member", "distance", "group", "short")
+    one, other = (state.select("bucket", *[F.col(c).alias(f"{side}_{c}") for c in columns[1:]]) for side in ("a", "b"))
+    wanted = (
+        F.col("b_short") & (F.col("a_group") != F.col("b_group"))
+        & (~F.col("a_short") | (F.col("a_member") < F.col("b_member"))) & _within(F.abs(F.col("a_distance") - F.col("b_distance")))
+    )
+    pair = F.least("a_member", "b_member").alias("member"), F.greatest("a_member", "b_member").alias("centre")
+    return one.join(other.filter("b_short"), "bucket").filter(wanted).select(*pair)
+
+
+def _split(state: DataFrame, documents: DataFrame) -> DataFrame:
+    """The members of large buckets in smaller ones: those that share a shingle in which they differ from their centre.
+
+    ``J_P`` is at most xy / (x + y - xy), if the shared shingles are the shares x and y of the weights of two texts; so
+    two alike texts of the weights m and n differ in at most m + n - (sqrt(m) + sqrt(n))^2 / (1 + 1 / SIMILARITY) shingles
+    (``bound``; the least is reached with x as sqrt(n) to sqrt(m)), without repeated shingles in (1 - SIMILARITY) / (1 +
+    SIMILARITY) of m + n. Let X be the shingles in which a text differs from the centre. Two texts differ where their X do, so in
+    one order of all shingles, here by frequency, the first common one has no more than (bound + |X| - |other X|) / 2 before it in X: half
+    the bound in the smaller X (``short``), all of it in the larger one. Only texts without a common shingle in their X can be
+    alike and escape: those with |X| + |other X| <= bound. Without repeated shingles one of them would resemble the centre, and the other
+    it too; otherwise such texts are a bucket of their own (``close``). Weights of alike texts without repeated shingles are
+    within SIMILARITY; a text that is further off the centre's weights is compared with all where shingles are repeated (``scale``).
     """
-    linked = stored(
-        state.join(centres, "bucket").join(near, ["member", "centre"]).select("bucket", "centre", "member", "placed"), "linked"
+    members = state.select("centre", "member", "degree", "distance", "placed", "group").distinct()
+    found = differences(state.select("member", "centre").distinct(), documents).withColumn("size", F.size("different"))
+    known = stored(members.join(found, ["member", "centre"]), "differences")
+    free = F.when(~F.col("placed"), F.col("size"))
+    crowds = known.groupBy("centre").agg(
+        F.max("total").alias("heaviest"), F.min("total").alias("lightest"), F.min("size").alias("least"), F.min(free).alias("least_free"),
+        F.bool_and("plain").alias("all_plain"), F.max_by("total", F.struct("degree", "member")).alias("typical"),
+    )
+    m, wide = F.col("total"), 1 / SIMILARITY
+    other = F.least(F.col("heaviest"), m * F.when(F.col("all_plain"), wide).otherwise(wide**2))
+    bound = F.when(F.col("all_plain"), (m + other) * (1 - SIMILARITY) / (1 + SIMILARITY)).otherwise(
+        m + other - (F.sqrt(m) + F.sqrt(other)) ** 2 / (1 + 1 / SIMILARITY))
+    # Of two, one is unplaced: the smallest X that the other side can have.
+    met = F.when(F.col("placed"), F.col("least_free")).otherwise(F.col("least"))
+    before = (F.col("bound") + F.col("size") - met) / 2
+    limited = known.join(crowds, "centre").withColumn("bound", bound + 1e-6).withColumns({
+        "short_to": F.floor(F.least(before, F.col("bound") / 2)) + 1,
+        "long_to": F.floor(F.least(before, F.col("bound"))) + 1,
+    })
+    shared = stored(
+        limited.select("centre", F.explode("different").alias("shingle")).groupBy("centre", "shingle")
+        .agg(F.count("*").alias("often")).filter("often > 1"),
+        "shared-shingles",
     )
-    joining = linked.filter("placed").select("bucket", "centre").distinct()
-    joined = linked.join(joining, ["bucket", "centre"])
-    placed_now = joined.select("bucket", "member").union(joined.select("bucket", "centre"))
-    marks = (
-        placed_now.withColumn("now", F.lit(True)).withColumn("done", F.lit(False))
-        .union(centres.select("bucket", F.col("centre").alias("member"), F.lit(False), F.lit(True)))
-        .groupBy("bucket", "member").agg(F.max("now").alias("now"), F.max("done").alias("done"))
+    kept = "degree", "distance", "placed", "group"
+    numbers = "size", "short_to", "long_to"
+    # Shingles of one member only come first in the order, and no other member has them.
+    ranked = (
+        limited.select("centre", "member", *kept, *numbers, F.explode("different").alias("shingle")).join(shared, ["centre", "shingle"])
+        .groupBy("centre", "member", *kept, *numbers).agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("common"))
+        .select("centre", "member", *kept, *numbers, F.size("common").alias("several"), F.posexplode("common").alias("place", "entry"))
+        .withColumn("rank", F.col("size") - F.col("several") + F.col("place"))
+        .filter(F.col("rank") < F.col("long_to"))
+        .withColumn("short", F.col("rank") < F.col("short_to"))
     )
-    after = state.join(marks, ["bucket", "member"], "left")
-    now, done = F.coalesce("now", F.lit(False)), F.coalesce("done", F.lit(False))
-    return after.filter(F.col("placed") | now | ~done).select(
-        "bucket", "member", "degree", "distance", (F.col("placed") | now).alias("placed")
+    columns = "centre", "member", *kept, "short"
+    by_shingle = ranked.select(F.xxhash64("centre", "entry.shingle").alias("bucket"), *columns)
+    repeating = limited.filter(~F.col("all_plain"))
+    inner = F.col("size") <= F.col("bound") - F.col("least_free")
+    outer = ~F.col("placed") & (F.col("size") <= F.col("bound") - F.col("least"))
+    close = repeating.filter(inner | outer).withColumn("short", inner)
+    off = (m * SIMILARITY > F.col("typical")) | (m < F.col("typical") * SIMILARITY)
+    scale = repeating.filter(F.col("lightest") < F.col("heaviest") * SIMILARITY**2).withColumn("short", off)
+    for name, more in (("close", close), ("scale", scale)):
+        by_shingle = by_shingle.union(more.select(F.xxhash64("centre", F.lit(name)).alias("bucket"), *columns))
+    return by_shingle
+
+
+def _new_centres(state: DataFrame) -> DataFrame:
+    """One of the short members of each bucket: an unplaced one, if there is any, with the most company."""
+    best = F.max(F.struct(~F.col("placed"), "degree", "member", "group"))
+    chosen = state.filter("short").groupBy("bucket").agg(best.alias("best"))
+    return chosen.select("bucket", F.col("best.member").alias("new"), F.col("best.group").alias("new_group"))
+
+
+def _around(state: DataFrame, centres: DataFrame, results: DataFrame) -> DataFrame:
+    """The state once all members of each bucket have been compared with its new centre, which has no further link to find."""
+    measured = results.select("member", F.col("centre").alias("new"), "similarity")
+    found = state.join(centres, "bucket").filter(F.col("member") != F.col("new")).join(measured, ["member", "new"])
+    distance = 1 - F.col("similarity")
+    return found.select(
+        "bucket", F.col("new").alias("centre"), "member", "degree", distance.alias("distance"),
+        (_within(distance) | (F.col("group") == F.col("new_group"))).alias("placed"), "group", "short",
     )
 
 
@@ -294,22 +394,33 @@ def groups_of(signed_representatives: DataFrame, documents: DataFrame) -> DataFr
     group_of_centre = groups.select(F.col("node").alias("centre"), F.col("component").alias("centre_group"))
     centred = stored(centres.join(apart, "bucket").join(group_of_centre, "centre", "left"), "apart-centres")
     group_of_member = groups.select(F.col("node").alias("member"), F.col("component").alias("member_group"))
-    distance = F.when(F.col("member") == F.col("centre"), F.lit(0.0)).otherwise(1 - F.col("similarity"))
+    distance = 1 - F.col("similarity")
     # What links elsewhere have joined to the centre's group has nothing more to find out about it.
-    joined = F.coalesce(F.col("member_group") == F.col("centre_group"), F.lit(False))
+    group = F.coalesce("member_group", "member")
     state = _open(stored(
-        members.join(centred, "bucket").join(results, ["member", "centre"], "left").join(group_of_member, "member", "left")
-        .select("bucket", "member", "degree", distance.alias("distance"), joined.alias("joined"))
-        .select("bucket", "member", "degree", "distance", (_within(F.col("distance")) | F.col("joined")).alias("placed")),
+        members.join(centred, "bucket").join(results, ["member", "centre"]).join(group_of_member, "member", "left")
+        .select("bucket", "centre", "member", "degree", distance.alias("distance"),
+                (_within(distance) | (group == F.coalesce("centre_group", "centre"))).alias("placed"),
+                group.alias("group"), F.lit(True).alias("short")),
         "after",
     ))
     found: list[DataFrame] = []
-    number = 1
+    few = FEW
     while not state.isEmpty():
-        centres = _centres(state, number)
-        found.append(near(stored(verified(_pairs(state, centres), documents), "verified")))
-        state = _open(stored(_after_round(state, centres, found[-1]), "after"))
-        number *= GROWTH
+        small, large = _parted(state, few)
+        pairs = _all_pairs(small)
+        crowd = centres = None
+        few *= GROWTH
+        if not large.isEmpty():
+            small, crowd = _parted(_open(stored(_split(large, documents), "split")), few)
+            centres = _new_centres(crowd)
+            around = crowd.join(centres, "bucket").filter(F.col("member") != F.col("new"))
+            pairs = pairs.union(_all_pairs(small)).union(around.select("member", F.col("new").alias("centre")))
+        results = stored(verified(stored(pairs.distinct(), "pairs"), documents), "verified")
+        found.append(near(results))
+        if crowd is None or crowd.isEmpty():
+            break
+        state = _open(stored(_around(crowd, centres, results), "after"))
     if not any(not more.isEmpty() for more in found):
         return groups
     edges = groups.filter(F.col("node") != F.col("component")).toDF("member", "centre")
@@ -335,13 +446,14 @@ def components(edges: DataFrame) -> DataFrame:
         kept = least.select("a", F.col("lowest").alias("b"))
         return stored(moved.union(kept).filter("a != b").distinct(), "stars")
 
-    def mark(pairs: DataFrame) -> tuple:
-        return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+    def unfinished(pairs: DataFrame) -> bool:
+        ends = pairs.select(F.col("a").alias("node"), F.lit(1).alias("ends"), (F.col("a") <= F.col("b")).alias("upward")).union(
+            pairs.select(F.col("b").alias("node"), F.lit(0), F.lit(False)))
+        counted = ends.groupBy("node").agg(F.sum("ends").alias("starts"), F.min("ends").alias("least"), F.max("upward").alias("upward"))
+        return not counted.filter("starts > 1 or (starts = 1 and least = 0) or upward").isEmpty()
 
     pairs = stored(edges.select(F.col("member").alias("a"), F.col("centre").alias("b")).distinct(), "edges")
-    before = None
-    while before != (now := mark(pairs)):
-        before = now
+    while unfinished(pairs):
         pairs = star(star(pairs, large=True), large=False)
     nodes = pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.union(pairs.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

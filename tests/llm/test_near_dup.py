@@ -120,6 +120,40 @@ def test_members_unlike_their_centre_find_each_other(spark):
     assert set(found.values()) == {0}
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_copies_that_changed_in_different_places_are_not_all_compared(spark, monkeypatch, repeated):
+    """A large group of copies, most of them unlike each other: comparisons grow with its members, and no link is lost."""
+    chooser = random.Random(8)
+    base = prose(9, 140).split()
+    if repeated:
+        base = base[:100] + base[:20] + base[100:]
+    texts = []
+    for _ in range(160):
+        text = list(base)
+        for _ in range(chooser.randrange(1, 9)):
+            text[chooser.randrange(len(base))] = f"new{chooser.randrange(10**6)}"
+        texts.append(" ".join(text))
+    # Copies of changed copies resemble these, not the centre.
+    for text in texts[:40]:
+        text = text.split()
+        text[chooser.randrange(len(text))] = "again"
+        texts.append(" ".join(text))
+    sets = [near_dup.weighted_shingles(near_dup.split_words(t)) for t in texts]
+    links = [(j, i) for j in range(200) for i in range(j) if near_dup.probability_jaccard(sets[i], sets[j]) >= 0.8 - 1e-9]
+    least = list(range(200))
+    for _ in least:
+        for j, i in links:
+            least[i] = least[j] = min(least[i], least[j])
+    compared, verified = [], near_dup.verified
+    monkeypatch.setattr(near_dup, "verified", lambda pairs, docs: (compared.append(pairs.count()), verified(pairs, docs))[1])
+    monkeypatch.setattr(near_dup, "GROWTH", 2)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.class_id for r in near_dup.near_duplicates(table).collect()}
+    assert found == dict(enumerate(least))
+    assert len(set(least)) > 20
+    assert sum(compared) < 200 * 15
+
+
 def test_components(spark):
     chooser = random.Random(1)
     edges = [(i, i - 1) for i in range(1, 30)] + [(100 + i, 100) for i in range(1, 50)] + [(chooser.randrange(200, 260), chooser.randrange(200, 260)) for _ in range(40)]
