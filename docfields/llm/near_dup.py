@@ -410,7 +410,6 @@ def groups_of(signed_representatives: DataFrame, documents: DataFrame) -> DataFr
         small, large = _parted(state, few)
         pairs = _all_pairs(small)
         crowd = centres = None
-        few *= GROWTH
         if not large.isEmpty():
             small, crowd = _parted(_open(stored(_split(large, documents), "split")), few)
             centres = _new_centres(crowd)
@@ -421,6 +420,7 @@ def groups_of(signed_representatives: DataFrame, documents: DataFrame) -> DataFr
         if crowd is None or crowd.isEmpty():
             break
         state = _open(stored(_around(crowd, centres, results), "after"))
+        few *= GROWTH
     if not any(not more.isEmpty() for more in found):
         return groups
     edges = groups.filter(F.col("node") != F.col("component")).toDF("member", "centre")
