@@ -13,10 +13,10 @@ similarity ``J_P = sum_d 1 / sum_e max(a_e / a_d, b_e / b_d)``; for plain sets i
 3. Pairs are verified exactly on the whole texts.
 4. Buckets whose members differ from the centre stay open. ``1 - J_P`` is a metric, so only members stay that the triangle
    inequality lets resemble one that no link has joined to the centre's group. Small buckets are compared pair by pair.
-   In larger ones each member is reduced to the shingles in which it differs from the centre: texts that resemble each
-   other, but not the centre, share some of them, and one of the few that their bucket has least often at that (prefix
-   filter, see ``_split``). Those that share one are the next buckets, so copies that changed in different places never meet, and
-   those that changed alike get a centre of their own. No link that banding found a bucket for is lost to the groups.
+   In larger ones the shingles of each member are put in one order, what the centre lacks and the bucket has least often first:
+   texts that resemble each other share one of the first few (prefix filter, see ``_split``). Those that share one are the
+   next buckets, so copies that changed in different places never meet, and those that changed alike get a centre of their own.
+   No link that banding found a bucket for is lost to the groups.
 5. Connected components of the links give the class ids (alternating large and small stars).
 """
 
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docfields.llm.common import map_arrow, stored
@@ -44,6 +44,10 @@ GROWTH = 16
 # Shingles that are processed together.
 BATCH_SHINGLES = 1_000_000
 _EPSILON = 1e-9
+# Two texts are alike only if the shares x and y that their common shingles have in them meet 1 / x + 1 / y <= _WIDE.
+_WIDE = 1 + 1 / SIMILARITY
+# A member is regular if no more than this share of its weight is in shingles that it repeats more often than its centre does.
+REGULAR = 0.05
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0x100000001B3)
@@ -185,25 +189,30 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shingles that only one of member and centre has, and the weight of the member's; rows come sorted by centre."""
+    """What ``differences`` returns; rows come sorted by centre."""
     last: str | None = None
     centre = weighted_shingles([])
     for batch in batches:
-        totals, plain, different = [], [], []
+        numbers, new, weights, old, before = [], [], [], [], []
         for text, centre_text in zip(batch.column(2), batch.column(3), strict=True):
             other = centre_text.as_py()
             if other != last:
                 last, centre = other, weighted_shingles(split_words(other))
-            member = weighted_shingles(split_words(text.as_py()))
-            totals.append(int(member[1].sum()))
-            plain.append(bool((member[1] == 1).all() and (centre[1] == 1).all()))
-            different.append(np.setxor1d(member[0], centre[0], assume_unique=True).view(np.int64))
+            shingles, counts = weighted_shingles(split_words(text.as_py()))
+            held = np.isin(shingles, centre[0], assume_unique=True)
+            more = counts[held] - centre[1][np.searchsorted(centre[0], shingles[held])]
+            total, off = int(counts.sum()), int(counts[~held].sum())
+            numbers.append((total, off, int(np.maximum(more, 0).sum()) + off - int((~held).sum()), int(np.maximum(-more, 0).sum())))
+            so_far = off + np.cumsum(counts[held]) - counts[held]
+            early = so_far <= (1 - SIMILARITY) * total + 1e-6
+            new.append(shingles[~held].view(np.int64))
+            weights.append(counts[~held])
+            old.append(shingles[held][early].view(np.int64))
+            before.append(so_far[early])
+        lists = [pa.array(x, pa.list_(pa.int64())) for x in (new, weights, old, before)]
         yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0), batch.column(1), pa.array(totals, pa.int64()), pa.array(plain, pa.bool_()),
-                pa.array(different, pa.list_(pa.int64())),
-            ],
-            names=["member", "centre", "total", "plain", "different"],
+            [batch.column(0), batch.column(1), *[pa.array([n[k] for n in numbers], pa.int64()) for k in range(4)], *lists],
+            names=["member", "centre", "total", "new_total", "up", "down", "new", "new_weights", "old", "old_before"],
         )
 
 
@@ -221,9 +230,15 @@ def verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def differences(pairs: DataFrame, documents: DataFrame) -> DataFrame:
-    """member, centre, the shingles that only one of them has, how many the member has, and whether none repeats in either."""
+    """member, centre, the member's weight, what of it is in shingles that the centre lacks, by how much the weights of its shingles are
+    higher (``up``) and lower (``down``) than the centre's or, where that has none, than one, the shingles that the centre lacks
+    (``new``) with their weights, and of the others those that have up to 1 - SIMILARITY of the member's weight before them
+    (``old``), if ``new`` comes first and the others follow by their hashes."""
     kind = documents.schema["doc_id"].dataType.simpleString()
-    schema = f"member {kind}, centre {kind}, total long, plain boolean, different array<long>"
+    schema = (
+        f"member {kind}, centre {kind}, total long, new_total long, up long, down long, "
+        "new array<long>, new_weights array<long>, old array<long>, old_before array<long>"
+    )
     return map_arrow(_with_texts(pairs, documents), _differ, schema)
 
 
@@ -257,7 +272,8 @@ def _open(state: DataFrame) -> DataFrame:
 
     ``state`` has bucket, centre, member, degree, the distance to the centre, placed (in the centre's group), the group,
     and ``short``: one of each two that are to be compared has it. The distances of two members that resemble each other
-    differ by no more than two alike texts may differ.
+    differ by no more than two alike texts may differ. The other columns come from ``_split``; in a ``mixed`` bucket only pairs
+    of which not both are ``regular`` are to be compared.
     """
     reach = 1 - SIMILARITY + _EPSILON
     free = F.when(~F.col("placed"), F.col("distance"))
@@ -267,8 +283,9 @@ def _open(state: DataFrame) -> DataFrame:
             F.count(free).alias("unplaced"), F.min(free).alias("nearest"), F.max(free).alias("farthest"),
             F.min(fixed).alias("placed_nearest"), F.max(fixed).alias("placed_farthest"),
             F.min("group").alias("lowest"), F.max("group").alias("highest"), F.count_if("short").alias("shorts"),
+            F.bool_and(F.col("mixed") & F.col("regular")).alias("elsewhere"),
         )
-        .filter((F.col("shorts") > 0) & (F.col("lowest") != F.col("highest")))
+        .filter((F.col("shorts") > 0) & (F.col("lowest") != F.col("highest")) & ~F.col("elsewhere"))
         .filter((F.col("unplaced") > 1) | (
             (F.col("unplaced") == 1) & (F.col("placed_farthest") >= F.col("nearest") - reach)
             & (F.col("placed_nearest") <= F.col("farthest") + reach)))
@@ -281,84 +298,105 @@ def _open(state: DataFrame) -> DataFrame:
     )
 
 
-def _parted(state: DataFrame, few: int) -> tuple[DataFrame, DataFrame]:
-    """The members of buckets with no more than ``few`` short ones, and those of larger buckets."""
-    sizes = state.groupBy("bucket").agg(F.count_if("short").alias("shorts"))
+def _parted(state: DataFrame, few: int, unplaced: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The members of buckets with no more than ``few`` short ones or ``unplaced`` unplaced ones, and those of larger buckets."""
+    sizes = state.groupBy("bucket").agg(
+        (F.when((F.count_if("short") <= few) | (F.count_if(~F.col("placed")) <= unplaced), "small").otherwise("large")).alias("part"))
     sized = state.join(sizes, "bucket")
-    return sized.filter(F.col("shorts") <= few).drop("shorts"), sized.filter(F.col("shorts") > few).drop("shorts")
+    return sized.filter(F.col("part") == "small").drop("part"), sized.filter(F.col("part") == "large").drop("part")
+
+
+def _may_be_alike() -> Column:
+    """Whether two members can be alike that have no common shingle before the one of their bucket (see ``_split``)."""
+    a_left, b_left = (F.col(f"{side}_total") - F.col(f"{side}_before") for side in ("a", "b"))
+    a_shared = F.least(a_left, b_left + F.col("a_up") + F.col("b_down"))
+    b_shared = F.least(b_left, a_left + F.col("b_up") + F.col("a_down"))
+    alike = F.col("a_total") / a_shared + F.col("b_total") / b_shared <= _WIDE + 1e-6
+    return alike & ~(F.col("a_mixed") & F.col("a_regular") & F.col("b_regular"))
+
+
+# What else a member has in its bucket.
+_PLACE = ("short", "total", "before", "up", "down", "regular", "mixed")
 
 
 def _all_pairs(state: DataFrame) -> DataFrame:
     """member and centre of all pairs of a bucket that are to be compared and that no link has joined yet."""
-    columns = ("bucket", "member", "distance", "group", "short")
+    columns = ("bucket", "member", "distance", "placed", "group", *_PLACE)
     one, other = (state.select("bucket", *[F.col(c).alias(f"{side}_{c}") for c in columns[1:]]) for side in ("a", "b"))
     wanted = (
-        F.col("b_short") & (F.col("a_group") != F.col("b_group"))
+        F.col("b_short") & (F.col("a_group") != F.col("b_group")) & ~(F.col("a_placed") & F.col("b_placed"))
         & (~F.col("a_short") | (F.col("a_member") < F.col("b_member"))) & _within(F.abs(F.col("a_distance") - F.col("b_distance")))
+        & _may_be_alike()
     )
     pair = F.least("a_member", "b_member").alias("member"), F.greatest("a_member", "b_member").alias("centre")
-    return one.join(other.filter("b_short"), "bucket").filter(wanted).select(*pair)
+    return one.join(other.filter("b_short"), one["bucket"] == other["bucket"]).filter(wanted).select(*pair)
 
 
 def _split(state: DataFrame, documents: DataFrame) -> DataFrame:
-    """The members of large buckets in smaller ones: those that share a shingle in which they differ from their centre.
-
-    ``J_P`` is at most xy / (x + y - xy), if the shared shingles are the shares x and y of the weights of two texts; so
-    two alike texts of the weights m and n differ in at most m + n - (sqrt(m) + sqrt(n))^2 / (1 + 1 / SIMILARITY) shingles
-    (``bound``; the least is reached with x as sqrt(n) to sqrt(m)), without repeated shingles in (1 - SIMILARITY) / (1 +
-    SIMILARITY) of m + n. Let X be the shingles in which a text differs from the centre. Two texts differ where their X do, so in
-    one order of all shingles, here by frequency, the first common one has no more than (bound + |X| - |other X|) / 2 before it in X: half
-    the bound in the smaller X (``short``), all of it in the larger one. Only texts without a common shingle in their X can be
-    alike and escape: those with |X| + |other X| <= bound. Without repeated shingles one of them would resemble the centre, and the other
-    it too; otherwise such texts are a bucket of their own (``close``). Weights of alike texts without repeated shingles are
-    within SIMILARITY; a text that is further off the centre's weights is compared with all where shingles are repeated (``scale``).
+    """The members of large buckets in smaller ones: those that share one of the first shingles of each.
+
+    ``J_P`` is at most xy / (x + y - xy), if the shared shingles are the shares x and y of the weights of two texts. In one order of all
+    shingles, nothing shared comes before the first shared one; with the shares u and v before it, alike texts meet
+    1 / (1 - u) + 1 / (1 - v) <= _WIDE. So one of them has no more than 1 - 2 / _WIDE of its weight before it (``short``), and
+    the other no more than 1 - SIMILARITY. What is shared weighs about the same in both, too: in one no more than in the other
+    and ``up`` of the one and ``down`` of the other (nothing, if no shingle is repeated). With the least weight and the highest
+    ``up`` of the others this limits what a member has before it. So that a few odd members do not lift the limit for all, it is
+    taken over ``regular`` members, and pairs with others meet in ``mixed`` buckets.
+
+    The order: shingles that the centre lacks, by how often the members have them, then its own. Members whose changes
+    nobody shares thus have no bucket, as far as they are unlike the centre. Placed members are compared with unplaced
+    ones only; of the centre's shingles these have ``most`` at most, which is the share ``best`` of a text at most.
     """
-    members = state.select("centre", "member", "degree", "distance", "placed", "group").distinct()
-    found = differences(state.select("member", "centre").distinct(), documents).withColumn("size", F.size("different"))
+    kept = "degree", "distance", "placed", "group"
+    members = state.select("centre", "member", *kept).distinct()
+    found = differences(state.select("member", "centre").distinct(), documents)
     known = stored(members.join(found, ["member", "centre"]), "differences")
-    free = F.when(~F.col("placed"), F.col("size"))
+    known = known.withColumn("regular", F.col("up") <= REGULAR * F.col("total"))
+    regular, unplaced = F.col("regular"), ~F.col("placed")
+    size, held = F.col("total"), F.col("total") - F.col("new_total")
     crowds = known.groupBy("centre").agg(
-        F.max("total").alias("heaviest"), F.min("total").alias("lightest"), F.min("size").alias("least"), F.min(free).alias("least_free"),
-        F.bool_and("plain").alias("all_plain"), F.max_by("total", F.struct("degree", "member")).alias("typical"),
+        F.bool_and(regular).alias("all_regular"), F.min(F.when(regular, size)).alias("lightest"), F.max(F.when(regular, F.col("up"))).alias("highest"),
+        F.max(F.when(regular & unplaced, held + F.col("down"))).alias("most"), F.max(F.when(regular & unplaced, held / size)).alias("best"),
     )
-    m, wide = F.col("total"), 1 / SIMILARITY
-    other = F.least(F.col("heaviest"), m * F.when(F.col("all_plain"), wide).otherwise(wide**2))
-    bound = F.when(F.col("all_plain"), (m + other) * (1 - SIMILARITY) / (1 + SIMILARITY)).otherwise(
-        m + other - (F.sqrt(m) + F.sqrt(other)) ** 2 / (1 + 1 / SIMILARITY))
-    # Of two, one is unplaced: the smallest X that the other side can have.
-    met = F.when(F.col("placed"), F.col("least_free")).otherwise(F.col("least"))
-    before = (F.col("bound") + F.col("size") - met) / 2
-    limited = known.join(crowds, "centre").withColumn("bound", bound + 1e-6).withColumns({
-        "short_to": F.floor(F.least(before, F.col("bound") / 2)) + 1,
-        "long_to": F.floor(F.least(before, F.col("bound"))) + 1,
-    })
-    shared = stored(
-        limited.select("centre", F.explode("different").alias("shingle")).groupBy("centre", "shingle")
-        .agg(F.count("*").alias("often")).filter("often > 1"),
-        "shared-shingles",
+    limited = known.join(crowds, "centre")
+    columns = "centre", "member", *kept, "total", "up", "down", "regular", *crowds.columns[1:]
+    changes = stored(
+        known.select("centre", "member", F.explode(F.arrays_zip("new", "new_weights")).alias("entry"))
+        .select("centre", "member", F.col("entry.new").alias("shingle"), F.col("entry.new_weights").alias("weight")),
+        "changes",
     )
-    kept = "degree", "distance", "placed", "group"
-    numbers = "size", "short_to", "long_to"
+    shared = stored(changes.groupBy("centre", "shingle").agg(F.count("*").alias("often")).filter("often > 1"), "shared-shingles")
     # Shingles of one member only come first in the order, and no other member has them.
-    ranked = (
-        limited.select("centre", "member", *kept, *numbers, F.explode("different").alias("shingle")).join(shared, ["centre", "shingle"])
-        .groupBy("centre", "member", *kept, *numbers).agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("common"))
-        .select("centre", "member", *kept, *numbers, F.size("common").alias("several"), F.posexplode("common").alias("place", "entry"))
-        .withColumn("rank", F.col("size") - F.col("several") + F.col("place"))
-        .filter(F.col("rank") < F.col("long_to"))
-        .withColumn("short", F.col("rank") < F.col("short_to"))
+    text = Window.partitionBy("centre", "member", "total", "new_total", "up", "down")
+    earlier = text.orderBy("often", "shingle").rowsBetween(Window.unboundedPreceding, -1)
+    new = (
+        changes.join(shared, ["centre", "shingle"]).join(limited.select(*columns, "new_total"), ["centre", "member"])
+        .withColumn("before", F.col("new_total") - F.sum("weight").over(text) + F.coalesce(F.sum("weight").over(earlier), F.lit(0)))
+        .select(*columns, "shingle", "before", F.lit(True).alias("meets"))
     )
-    columns = "centre", "member", *kept, "short"
-    by_shingle = ranked.select(F.xxhash64("centre", "entry.shingle").alias("bucket"), *columns)
-    repeating = limited.filter(~F.col("all_plain"))
-    inner = F.col("size") <= F.col("bound") - F.col("least_free")
-    outer = ~F.col("placed") & (F.col("size") <= F.col("bound") - F.col("least"))
-    close = repeating.filter(inner | outer).withColumn("short", inner)
-    off = (m * SIMILARITY > F.col("typical")) | (m < F.col("typical") * SIMILARITY)
-    scale = repeating.filter(F.col("lightest") < F.col("heaviest") * SIMILARITY**2).withColumn("short", off)
-    for name, more in (("close", close), ("scale", scale)):
-        by_shingle = by_shingle.union(more.select(F.xxhash64("centre", F.lit(name)).alias("bucket"), *columns))
-    return by_shingle
+
+    def meets(before: Column) -> Column:
+        """Whether a placed member can be alike to an unplaced one that shares none but the centre's shingles with it."""
+        both = F.least(size - before, F.col("most") + F.col("up"))
+        return unplaced | (size / both + 1 / F.col("best") <= _WIDE + 1e-6)
+
+    within = F.filter(F.arrays_zip("old", "old_before"), lambda entry: ~F.col("all_regular") | meets(entry["old_before"]))
+    old = (
+        limited.select(*columns, F.explode(within).alias("entry"))
+        .select(*columns, F.col("entry.old").alias("shingle"), F.col("entry.old_before").alias("before"))
+        .withColumn("meets", meets(F.col("before")))
+    )
+    left = size - F.col("before")
+    reaches = size / left + F.greatest(F.lit(1.0), F.col("lightest") / (left + F.col("highest") + F.col("down"))) <= _WIDE + 1e-6
+    kinds = F.array_compact(F.array(
+        F.when(regular & F.col("meets") & reaches, F.lit(False)),
+        F.when(~F.col("all_regular") & (F.col("before") <= size * (1 - SIMILARITY) + 1e-6), F.lit(True)),
+    ))
+    return (
+        new.union(old).withColumn("mixed", F.explode(kinds))
+        .withColumn("short", F.col("before") <= size * (1 - 2 / _WIDE) + 1e-6)
+        .select(F.xxhash64("centre", "shingle", "mixed").alias("bucket"), "centre", "member", *kept, *_PLACE)
+    )
 
 
 def _new_centres(state: DataFrame) -> DataFrame:
@@ -375,7 +413,7 @@ def _around(state: DataFrame, centres: DataFrame, results: DataFrame) -> DataFra
     distance = 1 - F.col("similarity")
     return found.select(
         "bucket", F.col("new").alias("centre"), "member", "degree", distance.alias("distance"),
-        (_within(distance) | (F.col("group") == F.col("new_group"))).alias("placed"), "group", "short",
+        (_within(distance) | (F.col("group") == F.col("new_group"))).alias("placed"), "group", *_PLACE,
     )
 
 
@@ -401,17 +439,23 @@ def groups_of(signed_representatives: DataFrame, documents: DataFrame) -> DataFr
         members.join(centred, "bucket").join(results, ["member", "centre"]).join(group_of_member, "member", "left")
         .select("bucket", "centre", "member", "degree", distance.alias("distance"),
                 (_within(distance) | (group == F.coalesce("centre_group", "centre"))).alias("placed"),
-                group.alias("group"), F.lit(True).alias("short")),
+                group.alias("group"), F.lit(True).alias("short"), F.lit(1).cast("long").alias("total"),
+                *[F.lit(0).cast("long").alias(name) for name in ("before", "up", "down")],
+                F.lit(False).alias("regular"), F.lit(False).alias("mixed")),
         "after",
     ))
     found: list[DataFrame] = []
     few = FEW
+    # The texts of all that may still be compared: few, if there are few large groups.
+    wanted = stored(state.select(F.col("member").alias("open_id")).union(state.select("centre")).distinct(), "open-ids")
+    documents = stored(
+        documents.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("open_id"), "left_semi"), "open-texts")
     while not state.isEmpty():
         small, large = _parted(state, few)
         pairs = _all_pairs(small)
         crowd = centres = None
         if not large.isEmpty():
-            small, crowd = _parted(_open(stored(_split(large, documents), "split")), few)
+            small, crowd = _parted(_open(stored(_split(large, documents), "split")), few, FEW)
             centres = _new_centres(crowd)
             around = crowd.join(centres, "bucket").filter(F.col("member") != F.col("new"))
             pairs = pairs.union(_all_pairs(small)).union(around.select("member", F.col("new").alias("centre")))

@@ -154,6 +154,64 @@ def test_copies_that_changed_in_different_places_are_not_all_compared(spark, mon
     assert sum(compared) < 200 * 15
 
 
+def edited(seed, count, base, edits):
+    """Copies of a text with words replaced, added or taken out, or the end cut off; some are changed copies of copies."""
+    chooser = random.Random(seed)
+    texts = []
+    for _ in range(count):
+        text = list(chooser.choice(texts).split() if texts and chooser.random() < 0.3 else base)
+        for _ in range(chooser.randrange(edits + 1)):
+            at, word = chooser.randrange(len(text)), f"new{chooser.randrange(10**6)}"
+            chooser.choice((lambda: text.__setitem__(at, word), lambda: text.insert(at, word), lambda: text.pop(at)))()
+        if chooser.random() < 0.15:
+            text = text[: len(text) - chooser.randrange(20)]
+        texts.append(" ".join(text))
+    return texts
+
+
+@pytest.mark.parametrize("repeated", [0, 1, 3])
+def test_split_buckets_lose_no_link(spark, repeated):
+    """Texts of many lengths in one bucket, with no, a few or only repeated shingles, split from the first round on."""
+    base = prose(19, 110).split()
+    texts = edited(11, 170, base + base[:20] if repeated == 3 else base, 7)
+    if repeated:
+        texts += edited(12, 10, base + base[10:30], 5)
+    sets = [near_dup.weighted_shingles(near_dup.split_words(t)) for t in texts]
+    assert sum(bool((s[1] > 1).any()) for s in sets) > (0, 5, 150, 150)[repeated] or not repeated
+    one = spark.createDataFrame([(7, 0, i, 1, 1 - near_dup.probability_jaccard(sets[i], sets[0])) for i in range(1, len(texts))],
+                                "bucket long, centre long, member long, degree long, distance double")
+    placed = one.distance <= 0.2 + 1e-9
+    state = one.selectExpr("*", "distance <= 0.2 + 1e-9 placed", "if(distance <= 0.2 + 1e-9, 0L, member) `group`", "true short",
+                           "1L total", "0L before", "0L up", "0L down", "false regular", "false mixed")
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {tuple(r) for r in near_dup._all_pairs(near_dup._split(state, documents)).distinct().collect()}
+    free = {r.member for r in one.filter(~placed).collect()}
+    links = {
+        (i, j) for j in range(1, len(texts)) for i in range(1, j)
+        if (i in free or j in free) and near_dup.probability_jaccard(sets[i], sets[j]) >= 0.8 - 1e-9
+    }
+    assert len(free) > 20 and len(links) > 50
+    assert links <= found
+
+
+def test_placed_copies_do_not_meet_in_what_they_lack(spark, monkeypatch):
+    """In a large group of copies with words replaced, only what changed alike shares a bucket; before, all that lost the same did."""
+    chooser = random.Random(4)
+    base = prose(29, 150).split()
+    texts = [" ".join(base)]
+    for _ in range(500):
+        text = list(base)
+        for at in chooser.sample(range(5, 145), chooser.choice((1, 2, 3, 5, 6, 7))):
+            text[at] = f"new{chooser.randrange(10**7)}"
+        texts.append(" ".join(text))
+    split, sizes = near_dup._split, []
+    monkeypatch.setattr(near_dup, "_split", lambda *a: (rows := split(*a), sizes.append(near_dup._open(rows).count()))[0])
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.class_id for r in near_dup.near_duplicates(documents).collect()}
+    assert len(set(found.values())) > 50
+    assert sizes and sum(sizes) < 2500
+
+
 def test_components(spark):
     chooser = random.Random(1)
     edges = [(i, i - 1) for i in range(1, 30)] + [(100 + i, 100) for i in range(1, 50)] + [(chooser.randrange(200, 260), chooser.randrange(200, 260)) for _ in range(40)]
