@@ -189,12 +189,13 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What ``differences`` returns; rows come sorted by centre."""
+    """What ``differences`` returns; rows come sorted by centre, both texts last."""
     last: str | None = None
     centre = weighted_shingles([])
     for batch in batches:
         numbers, new, weights, old, before = [], [], [], [], []
-        for text, centre_text in zip(batch.column(2), batch.column(3), strict=True):
+        known = batch.num_columns - 2
+        for text, centre_text in zip(batch.column(known), batch.column(known + 1), strict=True):
             other = centre_text.as_py()
             if other != last:
                 last, centre = other, weighted_shingles(split_words(other))
@@ -211,16 +212,16 @@ def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             before.append(so_far[early])
         lists = [pa.array(x, pa.list_(pa.int64())) for x in (new, weights, old, before)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), *[pa.array([n[k] for n in numbers], pa.int64()) for k in range(4)], *lists],
-            names=["member", "centre", "total", "new_total", "up", "down", "new", "new_weights", "old", "old_before"],
+            [*batch.columns[:known], *[pa.array([n[k] for n in numbers], pa.int64()) for k in range(4)], *lists],
+            names=[*batch.schema.names[:known], "total", "new_total", "up", "down", "new", "new_weights", "old", "old_before"],
         )
 
 
 def _with_texts(pairs: DataFrame, documents: DataFrame) -> DataFrame:
-    """member, centre and both texts. ``pairs`` is a stored table, so a small one is broadcast."""
+    """The columns of ``pairs`` and both texts."""
     texts = documents.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
-    members = pairs.join(texts, pairs["member"] == texts["doc_id"]).select("member", "centre", F.col("text").alias("member_text"))
-    return members.join(texts, members["centre"] == texts["doc_id"]).select("member", "centre", "member_text", "text")
+    members = pairs.join(texts, pairs["member"] == texts["doc_id"]).select(*pairs.columns, F.col("text").alias("member_text"))
+    return members.join(texts, members["centre"] == texts["doc_id"]).select(*pairs.columns, "member_text", "text")
 
 
 def verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
@@ -230,13 +231,12 @@ def verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def differences(pairs: DataFrame, documents: DataFrame) -> DataFrame:
-    """member, centre, the member's weight, what of it is in shingles that the centre lacks, by how much the weights of its shingles are
+    """The columns of ``pairs``, the member's weight, what of it is in shingles that the centre lacks, by how much the weights of its shingles are
     higher (``up``) and lower (``down``) than the centre's or, where that has none, than one, the shingles that the centre lacks
     (``new``) with their weights, and of the others those that have up to 1 - SIMILARITY of the member's weight before them
     (``old``), if ``new`` comes first and the others follow by their hashes."""
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    schema = (
-        f"member {kind}, centre {kind}, total long, new_total long, up long, down long, "
+    schema = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in pairs.schema) + (
+        ", total long, new_total long, up long, down long, "
         "new array<long>, new_weights array<long>, old array<long>, old_before array<long>"
     )
     return map_arrow(_with_texts(pairs, documents), _differ, schema)
@@ -246,9 +246,9 @@ def _crowded(signed_representatives: DataFrame) -> DataFrame:
     """bucket, member and degree of all members of buckets with several: the members of all buckets of a member."""
     exploded = signed_representatives.select(F.col("doc_id").alias("member"), F.explode("bands").alias("bucket"))
     crowds = stored(exploded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "crowds")
-    crowded = stored(exploded.join(crowds, "bucket"), "crowded")
-    degrees = stored(crowded.groupBy("member").agg(F.sum("size").alias("degree")), "degrees")
-    return stored(crowded.drop("size").join(degrees, "member"), "members")
+    # A member has a bucket for each band at most.
+    members = exploded.join(crowds, "bucket").groupBy("member").agg(F.sum("size").alias("degree"), F.collect_list("bucket").alias("buckets"))
+    return stored(members.select(F.explode("buckets").alias("bucket"), "member", "degree"), "members")
 
 
 def _most_connected() -> Column:
@@ -256,11 +256,13 @@ def _most_connected() -> Column:
     return F.max(F.struct("degree", "member"))["member"].alias("centre")
 
 
+def _once(pairs: DataFrame) -> DataFrame:
+    """Each row once, dealt by member: where the text of the member is joined next, without one more exchange."""
+    return pairs.repartition("member").distinct()
+
+
 def _pairs(members: DataFrame, centres: DataFrame) -> DataFrame:
-    return stored(
-        members.join(centres, "bucket").filter(F.col("member") != F.col("centre")).select("member", "centre").distinct(),
-        "pairs",
-    )
+    return _once(members.join(centres, "bucket").filter(F.col("member") != F.col("centre")).select("member", "centre"))
 
 
 def _within(distance: Column) -> Column:
@@ -348,9 +350,7 @@ def _split(state: DataFrame, documents: DataFrame) -> DataFrame:
     ones only; of the centre's shingles these have ``most`` at most, which is the share ``best`` of a text at most.
     """
     kept = "degree", "distance", "placed", "group"
-    members = state.select("centre", "member", *kept).distinct()
-    found = differences(state.select("member", "centre").distinct(), documents)
-    known = stored(members.join(found, ["member", "centre"]), "differences")
+    known = stored(differences(_once(state.select("centre", "member", *kept)), documents), "differences")
     known = known.withColumn("regular", F.col("up") <= REGULAR * F.col("total"))
     regular, unplaced = F.col("regular"), ~F.col("placed")
     size, held = F.col("total"), F.col("total") - F.col("new_total")
@@ -425,18 +425,19 @@ def groups_of(signed_representatives: DataFrame, documents: DataFrame) -> DataFr
     members = _crowded(signed_representatives)
     centres = stored(members.groupBy("bucket").agg(_most_connected()), "centres")
     results = stored(verified(_pairs(members, centres), documents), "verified")
-    groups = stored(components(near(results)), "groups")
-    far = results.filter(F.col("similarity") < SIMILARITY - _EPSILON)
-    # Only buckets in which some member differs from its centre need another round.
-    apart = stored(members.join(centres, "bucket").join(far, ["member", "centre"]).select("bucket").distinct(), "apart")
+    # One round joins most; what it has not joined yet is compared more often, and joined at last.
+    linked = _stars(near(results), rounds=1)
+    nodes = linked.select(F.col("a").alias("node"), "b").union(linked.select(F.col("b").alias("node"), "b"))
+    labels = stored(nodes.groupBy("node").agg(F.min("b").alias("label")), "labels")
+    groups = stored(labels.join(labels.toDF("of", "component"), F.col("label") == F.col("of")).select("node", "component"), "groups")
     group_of_centre = groups.select(F.col("node").alias("centre"), F.col("component").alias("centre_group"))
-    centred = stored(centres.join(apart, "bucket").join(group_of_centre, "centre", "left"), "apart-centres")
     group_of_member = groups.select(F.col("node").alias("member"), F.col("component").alias("member_group"))
     distance = 1 - F.col("similarity")
     # What links elsewhere have joined to the centre's group has nothing more to find out about it.
     group = F.coalesce("member_group", "member")
     state = _open(stored(
-        members.join(centred, "bucket").join(results, ["member", "centre"]).join(group_of_member, "member", "left")
+        members.join(centres, "bucket").join(results, ["member", "centre"])
+        .join(group_of_member, "member", "left").join(group_of_centre, "centre", "left")
         .select("bucket", "centre", "member", "degree", distance.alias("distance"),
                 (_within(distance) | (group == F.coalesce("centre_group", "centre"))).alias("placed"),
                 group.alias("group"), F.lit(True).alias("short"), F.lit(1).cast("long").alias("total"),
@@ -447,7 +448,7 @@ def groups_of(signed_representatives: DataFrame, documents: DataFrame) -> DataFr
     found: list[DataFrame] = []
     few = FEW
     # The texts of all that may still be compared: few, if there are few large groups.
-    wanted = stored(state.select(F.col("member").alias("open_id")).union(state.select("centre")).distinct(), "open-ids")
+    wanted = state.select(F.col("member").alias("open_id")).union(state.select("centre"))
     documents = stored(
         documents.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("open_id"), "left_semi"), "open-texts")
     while not state.isEmpty():
@@ -459,36 +460,58 @@ def groups_of(signed_representatives: DataFrame, documents: DataFrame) -> DataFr
             centres = _new_centres(crowd)
             around = crowd.join(centres, "bucket").filter(F.col("member") != F.col("new"))
             pairs = pairs.union(_all_pairs(small)).union(around.select("member", F.col("new").alias("centre")))
-        results = stored(verified(stored(pairs.distinct(), "pairs"), documents), "verified")
+        results = stored(verified(_once(pairs), documents), "verified")
         found.append(near(results))
         if crowd is None or crowd.isEmpty():
             break
         state = _open(stored(_around(crowd, centres, results), "after"))
         few *= GROWTH
-    if not any(not more.isEmpty() for more in found):
-        return groups
-    edges = groups.filter(F.col("node") != F.col("component")).toDF("member", "centre")
+    edges = linked.toDF("member", "centre")
     for more in found:
         edges = edges.union(more)
     return components(edges)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) of every node on an edge (member, centre).
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of each batch as stars: every node but the smallest of its part, and that smallest one."""
+    for batch in batches:
+        least: dict = {}
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ends = []
+            for node in (a, b):
+                while (lower := least.setdefault(node, node)) != node:
+                    least[node] = least[lower]
+                    node = lower
+                ends.append(node)
+            least[max(ends)] = min(ends)
+        # Nodes link smaller ones only, so these have found their least one before.
+        for node in sorted(least):
+            least[node] = least[least[node]]
+        stars = [(node, lowest) for node, lowest in least.items() if node != lowest]
+        kinds = batch.schema.field(0).type
+        yield pa.RecordBatch.from_arrays([pa.array([star[k] for star in stars], kinds) for k in (0, 1)], names=["a", "b"])
+
+
+def _stars(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Edges (a, b) that connect the same nodes as the edges (member, centre).
 
     Alternating large and small stars: each node links its larger neighbours, then itself and its smaller ones, to the least
-    node around it, until every edge ends at a component's least node. Each step is one stored table.
+    node around it, until every edge ends at a component's least node, or for so many rounds. Before each of them the edges
+    that are read together are joined to stars, which shortens long paths. Each step is one stored table.
     """
+    kind = edges.schema["member"].dataType.simpleString()
+
     def star(pairs: DataFrame, large: bool) -> DataFrame:
-        pairs = pairs.filter("a != b")
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else pairs.select(
             F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = stored(both.groupBy("a").agg(F.min("b").alias("lowest")).select("a", F.least("a", "lowest").alias("lowest")), "least")
-        linked = both.join(least, "a").select("a", "b", "lowest")
-        moved = linked.filter(F.col("b") > F.col("a") if large else F.col("b") <= F.col("a")).select(
-            F.col("b").alias("a"), F.col("lowest").alias("b"))
-        kept = least.select("a", F.col("lowest").alias("b"))
-        return stored(moved.union(kept).filter("a != b").distinct(), "stars")
+        moved = F.when(F.col("b") > F.col("a") if large else F.col("b") <= F.col("a"), F.struct(F.col("b").alias("a"), F.col("lowest").alias("b")))
+        kept = F.when(F.col("b") == F.col("lowest"), F.struct("a", F.col("lowest").alias("b")))
+        linked = both.join(least, "a").select(F.explode(F.array_compact(F.array(moved, kept))).alias("edge"))
+        return linked.select("edge.a", "edge.b").filter("a != b")
+
+    def joined(pairs: DataFrame) -> DataFrame:
+        return map_arrow(pairs, _joined, f"a {kind}, b {kind}")
 
     def unfinished(pairs: DataFrame) -> bool:
         ends = pairs.select(F.col("a").alias("node"), F.lit(1).alias("ends"), (F.col("a") <= F.col("b")).alias("upward")).union(
@@ -496,9 +519,19 @@ def components(edges: DataFrame) -> DataFrame:
         counted = ends.groupBy("node").agg(F.sum("ends").alias("starts"), F.min("ends").alias("least"), F.max("upward").alias("upward"))
         return not counted.filter("starts > 1 or (starts = 1 and least = 0) or upward").isEmpty()
 
-    pairs = stored(edges.select(F.col("member").alias("a"), F.col("centre").alias("b")).distinct(), "edges")
-    while unfinished(pairs):
-        pairs = star(star(pairs, large=True), large=False)
+    pairs = stored(joined(edges.select(F.col("member").alias("a"), F.col("centre").alias("b"))), "edges")
+    done = 0
+    while done < rounds if rounds is not None else unfinished(pairs):
+        done += 1
+        # A star has a row for each edge and each node at most, so copies of an edge may wait until the second one.
+        pairs = stored(star(stored(star(pairs, large=True), "stars"), large=False).distinct(), "stars")
+        pairs = stored(joined(pairs), "edges")
+    return pairs
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, component (its smallest node) of every node on an edge (member, centre)."""
+    pairs = _stars(edges)
     nodes = pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.union(pairs.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
 
@@ -512,15 +545,11 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """
     rows = stored(signed(documents), "signed")
     with_words = rows.filter(F.col("digest").isNotNull())
-    classes = stored(with_words.groupBy("digest").agg(F.min("doc_id").alias("first_id")), "copies")
-    representatives = stored(
-        with_words.join(classes, (F.col("doc_id") == F.col("first_id")) & (with_words["digest"] == classes["digest"]))
-        .select("doc_id", "bands").distinct(),
-        "representatives",
-    )
-    groups = groups_of(representatives, documents)
+    # Equal words have equal buckets.
+    classes = stored(with_words.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")), "copies")
+    groups = groups_of(classes.select(F.col("first_id").alias("doc_id"), "bands"), documents)
     named = stored(
-        classes.join(groups, F.col("first_id") == F.col("node"), "left")
+        classes.drop("bands").join(groups, F.col("first_id") == F.col("node"), "left")
         .select(F.col("digest").alias("class_digest"), F.coalesce("component", "first_id").alias("class_id")),
         "classes",
     )
