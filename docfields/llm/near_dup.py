@@ -256,13 +256,8 @@ def _most_connected() -> Column:
     return F.max(F.struct("degree", "member"))["member"].alias("centre")
 
 
-def _once(pairs: DataFrame) -> DataFrame:
-    """Each row once, dealt by member: where the text of the member is joined next, without one more exchange."""
-    return pairs.repartition("member").distinct()
-
-
 def _pairs(members: DataFrame, centres: DataFrame) -> DataFrame:
-    return _once(members.join(centres, "bucket").filter(F.col("member") != F.col("centre")).select("member", "centre"))
+    return members.join(centres, "bucket").filter(F.col("member") != F.col("centre")).select("member", "centre").distinct()
 
 
 def _within(distance: Column) -> Column:
@@ -350,7 +345,7 @@ def _split(state: DataFrame, documents: DataFrame) -> DataFrame:
     ones only; of the centre's shingles these have ``most`` at most, which is the share ``best`` of a text at most.
     """
     kept = "degree", "distance", "placed", "group"
-    known = stored(differences(_once(state.select("centre", "member", *kept)), documents), "differences")
+    known = stored(differences(state.select("centre", "member", *kept).distinct(), documents), "differences")
     known = known.withColumn("regular", F.col("up") <= REGULAR * F.col("total"))
     regular, unplaced = F.col("regular"), ~F.col("placed")
     size, held = F.col("total"), F.col("total") - F.col("new_total")
@@ -460,7 +455,7 @@ def groups_of(signed_representatives: DataFrame, documents: DataFrame) -> DataFr
             centres = _new_centres(crowd)
             around = crowd.join(centres, "bucket").filter(F.col("member") != F.col("new"))
             pairs = pairs.union(_all_pairs(small)).union(around.select("member", F.col("new").alias("centre")))
-        results = stored(verified(_once(pairs), documents), "verified")
+        results = stored(verified(pairs.distinct(), documents), "verified")
         found.append(near(results))
         if crowd is None or crowd.isEmpty():
             break
