@@ -115,7 +115,7 @@ def page_cap(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def page_text(spark: SparkSession, folder: str) -> DataFrame:
-    return tokens.assemble_pages(_words(spark, folder)).select("doc_id", "page_index", "page_text")
+    return tokens.assemble_pages(_words(spark, folder), text_only=True).select("doc_id", "page_index", "page_text")
 
 
 def document_text(spark: SparkSession, folder: str) -> DataFrame:

@@ -105,3 +105,39 @@ def test_ocr_results(spark):
     assert rows[2].full_text == "x y" and [t.text for t in rows[2].tokens] == ["x", "y"]
     assert rows[2].metadata.asDict() == {"avg_confidence": 0.7, "token_count": 2}
     assert {t.page_num for t in rows[2].tokens} == {2}
+
+
+def test_words_move_as_plain_values(spark, tmp_path):
+    _words(spark, [("a", 0, 0, "x", 1.0)]).write.parquet(str(tmp_path / "words"))
+    words = spark.read.parquet(str(tmp_path / "words"))
+    for table in (tokens.assemble_pages(words), tokens.assemble_documents(words), tokens.fingerprint_words(words), tokens.ocr_results(words)):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        before_the_first_exchange = plan[plan.rindex("Exchange hashpartitioning"):]
+        gathered = [line for line in before_the_first_exchange.splitlines() if "partial_" in line]
+        assert gathered and all("listagg" not in line and "bbox" not in line for line in gathered)
+        assert any("partial_collect_list(coalesce(word" in line for line in gathered)
+
+
+def test_pages_of_one_index_with_several_names_and_groups(spark):
+    rows = [("a", 0, "p", 0, "x", 50.0), ("a", 0, "p", 4096, "late", 70.0), ("a", 0, "q", 1, "y", 80.0), ("a", 0, None, 2, "z", None),
+            ("a", 40, "", 0, " ", 10.0), ("a", 40, "r", 9000, "far", 30.0), (None, 1, "n", 0, "w", 20.0)]
+    words = spark.createDataFrame([(d, name, p, i, t, c, 1, 2, 3, 4) for d, p, name, i, t, c in rows], schemas.WORDS).repartition(5)
+    found = {(r.doc_id, r.page_index, r.page_name): (r.page_text, r.token_count, r.avg_confidence) for r in tokens.assemble_pages(words).collect()}
+    assert found == {
+        ("a", 0, "p"): ("x late", 2, 0.6), ("a", 0, "q"): ("y", 1, 0.8), ("a", 0, None): ("z", 1, 0.0),
+        ("a", 40, ""): ("", 0, 0.0), ("a", 40, "r"): ("far", 1, 0.3), (None, 1, "n"): ("w", 1, 0.2),
+    }
+    texts = tokens.assemble_pages(words, text_only=True)
+    assert texts.columns == ["doc_id", "page_index", "page_text"]
+    assert sorted(map(str, texts.collect())) == sorted(map(str, tokens.assemble_pages(words).select(*texts.columns).collect()))
+    document = {r.doc_id: r for r in tokens.assemble_documents(words).collect()}["a"]
+    assert (document.pages, document.token_count) == (5, 5) and sorted(document.full_text.split("\n")) == ["", "far", "x late", "y", "z"]
+
+
+def test_missing_numbers_stay_missing(spark):
+    rows = [("a", "p", 0, 0, "x", None, 1, 2, 3, 4), ("a", "p", 0, 1, "y", 50.0, None, 2, 3, 4), ("a", "p", 0, 2, "z", 0.0, 0, 0, 0, 0)]
+    record = tokens.ocr_results(spark.createDataFrame(rows, schemas.WORDS)).first()
+    assert [(t.text, t.confidence, t.bbox) for t in record.tokens] == [
+        ("x", None, [1, 2, 4, 6]), ("y", 0.5, [None, 2, None, 6]), ("z", 0.0, [0, 0, 0, 0])
+    ]
+    assert record.metadata.asDict() == {"avg_confidence": 50 / 3 / 100, "token_count": 3}
