@@ -12,7 +12,7 @@ from docfields import rules
 from docfields.functions.amounts import difference_text, normalize_amount
 from docfields.functions.dates import normalize_date
 from docfields.operators import analytics, evaluate, extract, records, tokens, validate
-from docfields.schemas import FIELD_REPORT, MICRO_REPORT, OCR_RESULT, RESPONSE, SAMPLE_RECORD
+from docfields.schemas import DOCUMENTS, FIELD_REPORT, MICRO_REPORT, OCR_RESULT, RESPONSE, SAMPLE_RECORD
 from docfields.session import fresh_path
 from docfields.sources import admission, corpora, published, readers, writers
 from docfields.streaming import jobs
@@ -536,9 +536,9 @@ REDELIVERY = "7 days"
 def stream_redelivered(spark: SparkSession, folder: str) -> DataFrame:
     """Every document arrives twice, in two files of different micro-batches; each is stored once."""
     source = fresh_path(spark, "arrivals-twice")
-    documents = corpora.everything(spark, folder).select("doc_id", "text")
-    documents.write.parquet(source)
-    documents.write.mode("append").parquet(source)
+    corpora.everything(spark, folder).select("doc_id", "text").write.parquet(source)
+    # The second delivery is that of the files of the first.
+    spark.read.schema(DOCUMENTS).parquet(source).write.mode("append").parquet(source)
     sink, checkpoint = fresh_path(spark, "redelivered"), fresh_path(spark, "redelivered-log")
     stream = jobs.document_stream(spark, source, _files_per_batch(spark, source))
     jobs.extract_and_store(stream, sink, checkpoint, RUN_ID, redelivery=REDELIVERY).awaitTermination()
