@@ -2,8 +2,10 @@
 
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
+from docfields import rules
 from docfields.functions import amounts
 from docfields.operators import analytics, validate
 from docfields.plans import queries
@@ -80,3 +82,35 @@ def test_requests_of_a_field_are_counted_in_rows_of_requests(spark, monkeypatch)
     assert found.columns == plain.columns
     assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
     assert "count(distinct" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.fixture
+def rendered(spark, monkeypatch):
+    """A corpus of six documents in place of the rendered one, and how many of its rows were made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def row(i):
+        made.add(1)
+        return (f"d{i}", "unknown", f"Invoice Number: INV-{i}", {"invoice_number": f"INV-{i}", "tax_id": None})
+
+    schema = "doc_id string, doc_type string, text string, truth map<string,string>"
+    monkeypatch.setattr(corpora, "everything", lambda s, _: s.createDataFrame(s.sparkContext.parallelize(range(6), 2).map(row), schema))
+    return made
+
+
+def test_batch_runs_and_stream_share_one_rendering(spark, rendered):
+    found = queries.stream_and_batch(spark, "none").collect()
+    assert rendered.value == 6
+    assert [(r.field_name, r.stored, r.requests) for r in found] == [("invoice_number", 18, 18)]
+
+
+def test_a_second_delivery_is_not_rendered_again(spark, rendered):
+    assert queries.stream_redelivered(spark, "none").count() == 6
+    assert rendered.value == 6
+
+
+def test_repeated_values_come_from_one_pass(spark, rendered):
+    found = queries.eval_pairs_repeated(spark, "none")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == len(rules.FIELD_RULES) and "array_sort(" not in plan
+    assert sorted((r.doc_id, r.name, r.gt, r.pred) for r in found.collect()) == [(f"d{i}", "invoice_number", f"inv-{i}", "planted") for i in range(6)]
